@@ -24,10 +24,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.near_dups import classes
+
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_decontamination": op6_decontamination,
         "op8_quality_rules": op8_quality_rules,
+        "op10_near_dups": op10_near_dups,
     }
 
 
