@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.quality_rules import judge
 
@@ -33,6 +39,7 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_decontamination": op6_decontamination,
+        "op7_mixing": op7_mixing,
         "op8_quality_rules": op8_quality_rules,
         "op10_near_dups": op10_near_dups,
     }
