@@ -41,6 +41,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.quality_classifier import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.near_dups import classes
 
@@ -53,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
         "op8_quality_rules": op8_quality_rules,
+        "op9_quality": op9_quality,
         "op10_near_dups": op10_near_dups,
     }
 
