@@ -34,6 +34,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.parsed(warc.read_archive(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.decontaminate import contamination
 
@@ -56,6 +62,7 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_toxicity": op2_toxicity,
         "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
         "op8_quality_rules": op8_quality_rules,
