@@ -40,6 +40,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.ctw import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.decontaminate import contamination
 
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_toxicity": op2_toxicity,
+        "op4_ctw": op4_ctw,
         "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
         "op8_quality_rules": op8_quality_rules,
