@@ -40,6 +40,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.surrogates import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.ctw import score
 
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_toxicity": op2_toxicity,
+        "op3_surrogates": op3_surrogates,
         "op4_ctw": op4_ctw,
         "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
