@@ -1,20 +1,31 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
 A document is the weighted set of its 5-word shingles (lower-cased A-Z, words
-between blanks), weighted by how often each occurs. ProbMinHash: every shingle
+between blanks), of weight 1 + log(occurrences), so that a repeated line counts
+more, but not as often as it is repeated. ProbMinHash: every shingle
 sends arrivals of a Poisson process of its weight to random registers; a
 register keeps the shingle that arrives first, and a shingle stops as soon as
 its next arrival is later than every register's. Two registers agree with the
 probability Jaccard similarity of the documents.
 
 Equal texts become one node. Nodes that agree in a band of registers fall into a
-bucket. A bucket isn't expanded into its pairs: first each member is compared
-with one hub, then, of what is not yet connected, with another hub, then the
-members of different components that are left in a bucket with each other.
-Every compared pair is verified exactly: linked if the probability Jaccard
-similarity, or the plain Jaccard similarity of the shingle sets, is at least the
-threshold. Classes are the connected components, found by label propagation with
-pointer jumping over tables in the shared folder.
+bucket. A bucket isn't expanded into its pairs:
+
+1. Every member is compared with the bucket's hub, the member that meets most
+   others over all bands; of edited copies that is as a rule the original.
+2. Two members x, y of one hub h may still be similar to each other and not both
+   to h. Order the shingles of each by (in h, hash). If J(x, y) >= t, they share
+   one of the first |x| - ceil(t / (1 + t) * (|x| + least size)) + 1 shingles
+   (prefix filter). What x has in common with h comes last, so a copy that is too
+   far from h offers only its own edits, and meets only members that share some.
+   Members with one shared offer are compared with one of them, and then, where
+   components still differ, with each other.
+
+So no pair of the LSH candidates with Jaccard similarity t or more is lost, and
+the work follows the links, not the square of a group. Every compared pair is
+verified exactly: linked if the Jaccard similarity of the shingle sets is at least
+the threshold. (The two similarities are equal where no shingle repeats.) Classes are the connected components, found by label propagation with pointer
+jumping over tables in the shared folder.
 
 24 bands of 5 registers miss a pair at 0.8 with probability 8e-5, above it less.
 
@@ -95,21 +106,9 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return b.mix((rows * _STEP[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-def probability_jaccard(ka: np.ndarray, wa: np.ndarray, kb: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
-    """(probability Jaccard of the weighted sets, Jaccard of the sets), both exact."""
-    if not len(ka) or not len(kb):
-        return 0.0, 0.0
-    both, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    if not len(both):
-        return 0.0, 0.0
-    plain = len(both) / (len(ka) + len(kb) - len(both))
-    x, y = wa[ia].astype(float), wb[ib].astype(float)
-    only_a, only_b = wa.sum() - x.sum(), wb.sum() - y.sum()
-    order = np.argsort(x / y)
-    x, y = x[order], y[order]
-    above = only_a + np.cumsum(x[::-1])[::-1]  # of shingles where a's weight prevails
-    below = only_b + np.concatenate([[0.0], np.cumsum(y)[:-1]])
-    return float((1 / (above / x + below / y)).sum()), plain
+def jaccard(ka: np.ndarray, kb: np.ndarray) -> float:
+    both = len(np.intersect1d(ka, kb, assume_unique=True))
+    return both / max(1, len(ka) + len(kb) - both)
 
 
 def _key(text: str) -> Column:
@@ -120,21 +119,48 @@ def _key(text: str) -> Column:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in b.pieces(batch, "text"):
-            out = [bands(sketch(k, w)).view(np.int64) if len(k) else np.zeros(0, np.int64) for k, w in shingles(piece.column("text"))]
+            out = [bands(sketch(k, 1 + np.log(w))).view(np.int64) if len(k) else np.zeros(0, np.int64) for k, w in shingles(piece.column("text"))]
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32), np.concatenate(out))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), lists], names=["doc_id", "key", "bands"])
 
 
+def _sets(piece: pa.RecordBatch) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
+    """Shingles by key of both sides of a batch of pairs; each text is cut up once."""
+    found: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+    for side in "ab":
+        new = {k: i for i, k in enumerate(piece.column(side).to_pylist()) if k not in found}
+        if new:
+            found |= dict(zip(new, shingles(piece.column(f"text_{side}").take(pa.array(list(new.values()), pa.int64()))), strict=True))
+    return found
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in b.pieces(batch, "text_a"):
-            found: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-            for side in "ab":
-                keys = piece.column(side).to_pylist()
-                new = {k: i for i, k in enumerate(keys) if k not in found}
-                found |= dict(zip(new, shingles(piece.column(f"text_{side}").take(pa.array(list(new.values()), pa.int64()))), strict=True)) if new else {}
-            sims = [max(probability_jaccard(*found[x], *found[y])) for x, y in zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+        for piece in b.pieces(batch, "text_b"):
+            found = _sets(piece)
+            pairs = list(zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), strict=True))
+            sims = [jaccard(found[x][0], found[y][0]) for x, y in pairs]
+            sizes = [len(found[y][0]) for _, y in pairs]
+            yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(sims, pa.float64()), pa.array(sizes, pa.int64())], names=["a", "b", "similarity", "size"])
+
+
+def _offers(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in b.pieces(batch, "text_b"):
+                found = _sets(piece)
+                rows = []
+                for hub, key, least in zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), piece.column("least").to_pylist(), strict=True):
+                    own = found[key][0]
+                    common = np.isin(own, found[hub][0], assume_unique=True)
+                    partner = max(least, threshold * len(own))
+                    many = len(own) - int(np.ceil(threshold / (1 + threshold) * (len(own) + partner) - 1e-9)) + 1
+                    rows.append(np.concatenate([own[~common], own[common]])[: max(many, 1)])
+                n = np.array([len(x) for x in rows])
+                at = np.repeat(np.arange(len(rows)), n)
+                yield pa.RecordBatch.from_arrays([piece.column("a").take(at), piece.column("b").take(at), pa.array(np.concatenate(rows).view(np.int64))], names=["hub", "key", "shingle"])
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -158,38 +184,60 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", thresho
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text).alias("key"), text_of(text).alias("text"))
     mine = stored(source.mapInArrow(_signatures, "doc_id long, key binary, bands array<long>"), "signatures")
     rows = mine.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.posexplode("bands").alias("band", "hash"))
-    shared = rows.groupBy("band", "hash").agg(F.min("key").alias("hub"), F.max("key").alias("hub2")).filter(F.col("hub") != F.col("hub2"))
+    shared = rows.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(rows.join(shared, ["band", "hash"]), "members")
+    weights = members.groupBy("key").agg(F.sum("n").alias("weight"))
+    weighed = members.join(weights, "key")
+    hubs = weighed.groupBy("band", "hash").agg(F.max(F.struct("weight", "key")).alias("top")).select("band", "hash", F.col("top.key").alias("hub"))
 
-    needed = members.select("key").distinct()
+    needed = weights.select("key")
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
     texts = stored(source.join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def with_texts(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-        return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a binary, b binary, similarity double"), "verified")
-
-    done = verified(members.filter("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
-    for step in ("hub", "rest"):
-        labels = components(done.filter(F.col("similarity") >= threshold))
-        labelled = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        open_ = labelled.groupBy("band", "hash").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 != l2").select("band", "hash")
-        labelled = stored(labelled.join(open_, ["band", "hash"]), "open")
-        if labelled.isEmpty():
+        return pairs.join(right, "b").join(left, "a")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        paired = with_texts(pairs).select("a", "b", "text_a", "text_b")
+        return stored(paired.mapInArrow(_similar, "a binary, b binary, similarity double, size long"), "verified")
+
+    first = verified(members.join(hubs, ["band", "hash"]).filter("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
+    linked = F.col("similarity") >= threshold
+    links = first.filter(linked).select("a", "b")
+    labels = components(links)
+    # members of a hub of which one is apart from it: pairs of them may be links
+    groups = first.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.when(linked, 0).otherwise(1)).alias("apart"), F.min("size").alias("least"))
+    groups = groups.filter("n > 1 and apart > 0").select("a", "least")
+    offers = with_texts(first.select("a", "b").join(groups, "a")).select("a", "b", "least", "text_a", "text_b")
+    offers = stored(offers.mapInArrow(_offers(threshold), "hub binary, key binary, shingle long"), "offers")
+    for step in ("one", "rest"):
+        if offers.isEmpty():
             break
-        if step == "hub":
-            hubs = labelled.filter("key = hub2").select("band", "hash", F.col("key").alias("a"), F.col("label").alias("la"))
-            pairs = labelled.join(hubs, ["band", "hash"]).filter("label != la").select("a", F.col("key").alias("b"))
+        labelled = offers.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        mixed = labelled.groupBy("hub", "shingle").agg(F.min("label").alias("l1"), F.max(F.struct("label", "key")).alias("top")).filter("l1 != top.label")
+        if step == "one":
+            pairs = labelled.join(mixed.select("hub", "shingle", F.col("top.label").alias("la"), F.col("top.key").alias("a")), ["hub", "shingle"]).filter("label != la").select("a", F.col("key").alias("b"))
         else:
-            one, two = (labelled.select("band", "hash", F.col("key").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-            pairs = one.join(two, ["band", "hash"]).filter("la < lb").select("a", "b")
+            left = stored(labelled.join(mixed.select("hub", "shingle"), ["hub", "shingle"]), "mixed")
+            one, two = (left.select("hub", "shingle", F.col("key").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+            pairs = one.join(two, ["hub", "shingle"]).filter("la < lb").select("a", "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        done = done.unionByName(verified(fresh))
-    links = done.filter(F.col("similarity") >= threshold)
-    labels = components(links)
+        more = verified(pairs).filter(linked).select("a", "b")
+        if more.isEmpty():
+            continue
+        links = links.unionByName(more)
+        # only the components that the new links join
+        ends = more
+        for x in "ab":
+            ends = ends.join(labels.select(F.col("key").alias(x), F.col("label").alias(f"l{x}")), x, "left").withColumn(f"l{x}", F.coalesce(f"l{x}", x))
+        joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a != b").distinct())
+        known = labels.select("key", "label").unionByName(joined.select("key", F.col("key").alias("label"))).dropDuplicates(["key"])
+        joined = joined.select(F.col("key").alias("label"), F.col("label").alias("new"))
+        labels = stored(known.join(joined, "label", "left").select("key", F.coalesce("new", "label").alias("label")), "labels")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count("*").alias("n_links"))
     nodes = mine.groupBy("key").agg(F.min("doc_id").alias("first")).join(labels, "key", "left").join(degree, "key", "left")
     nodes = nodes.select("key", "first", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
