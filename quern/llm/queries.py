@@ -52,6 +52,17 @@ def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source/language/folder/name; each document whose id is a multiple of 40 is its folder's licence file."""
+    from pyspark.sql import functions as F
+
+    from quern.llm.licenses import scan
+
+    name = F.when(F.col("doc_id") % 40 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), (F.floor(F.col("doc_id") / 40) % 50).cast("string")), name)
+    return scan(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.decontaminate import contamination
 
@@ -77,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_surrogates": op3_surrogates,
         "op4_ctw": op4_ctw,
+        "op5_licenses": op5_licenses,
         "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
         "op8_quality_rules": op8_quality_rules,
