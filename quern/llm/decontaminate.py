@@ -63,6 +63,10 @@ def _grams(n: int, hashes: str = "h") -> Column:
     )
 
 
+def _located(n: int) -> Column:
+    return F.transform(f"g{n}", lambda x, i: F.struct(F.lit(n).alias("len"), x.alias("hash"), i.alias("pos")))
+
+
 def fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
     """df with w replaced by n_words and f: (length, hash, position) of the winnowed k-grams, and of all runs of the short lengths."""
     names = [c for c in df.columns if c != "w"]
@@ -85,7 +89,7 @@ def fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
     prints = [F.transform("c", lambda j: F.struct(F.lit(K + SPAN).alias("len"), F.get("g", j).alias("hash"), j.alias("pos")))]
     for n in short:
         df = df.withColumn(f"g{n}", _grams(n))
-        prints.append(F.transform(f"g{n}", lambda x, i, n=n: F.struct(F.lit(n).alias("len"), x.alias("hash"), i.alias("pos"))))
+        prints.append(_located(n))
     return df.select(*names, F.size("h").alias("n_words"), (F.concat(*prints) if short else prints[0]).alias("f"))
 
 
