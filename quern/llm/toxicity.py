@@ -35,6 +35,8 @@ from quern.llm.common import remainder, text_of
 
 WINDOW, STRIDE, PIECE = 32, 16, 12
 PER_CLASS, VOCABULARY, EPOCHS = 600, 5_000, 16
+#: Windows that training sees at least; small samples get more epochs.
+LEAST_WINDOWS = 50_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -253,7 +255,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.summary(t, self.logits(t)) @ self.head, -60, 60)))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Network:
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5, least: int = LEAST_WINDOWS) -> Network:
     """A network for texts with labels 0 or 1."""
     y = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
@@ -271,6 +273,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     ones, zeros = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    epochs = max(epochs, -(-least // (3 * len(y))))
     some = lambda docs: first[docs] + (rng.random(len(docs)) * t.counts[docs]).astype(np.int64)
     for epoch in range(epochs):
         if epoch < epochs // 4:
