@@ -12,7 +12,7 @@ def test_registered():
 
 def test_stages(spark, make_docs, prose, tmp_path):
     rng = random.Random(2)
-    item = prose(77, 25)
+    item = prose(7777, 25)
     texts = []
     for i in range(90):
         w = prose(i, 100).split()
