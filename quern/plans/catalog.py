@@ -66,9 +66,10 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_join_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top k of the vectors first, then their documents: the join sees k rows."""
-    found = knn.nearest(chunks(spark, sf_dir), query_vector(spark, sf_dir), K)
-    return knn.shaped(found)
+    """The top k of the vectors first, then their documents: the join sees k rows on one side, and texts of k rows only."""
+    vectors = _read(spark, sf_dir, "embeddings").join(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    top = knn.nearest(vectors, query_vector(spark, sf_dir), K, ties=("vec_id",)).select(F.col("vec_id").alias("doc_id"), "similarity")
+    return knn.shaped(chunks(spark, sf_dir).join(F.broadcast(top), "doc_id"))  # K rows
 
 
 def knn_verbose(spark: SparkSession, sf_dir: str) -> DataFrame:
