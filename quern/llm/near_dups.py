@@ -180,7 +180,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document row: doc_id, key (digest of the text), class_id (the least id of its class), n_links (of its text with different texts)."""
+    """One row per document row: doc_id, key (digest of the text), class_id (the least id of its class), class_key (the text that has it), n_links (of its text with different texts)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text).alias("key"), text_of(text).alias("text"))
     mine = stored(source.mapInArrow(_signatures, "doc_id long, key binary, bands array<long>"), "signatures")
     rows = mine.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.posexplode("bands").alias("band", "hash"))
@@ -242,16 +242,19 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", thresho
     nodes = mine.groupBy("key").agg(F.min("doc_id").alias("first")).join(labels, "key", "left").join(degree, "key", "left")
     nodes = nodes.select("key", "first", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     nodes = stored(nodes, "nodes")
-    named = nodes.join(nodes.groupBy("label").agg(F.min("first").alias("class_id")), "label").select("key", "class_id", "n_links")
+    # the least id stands for the class, with the least text where rows of several texts have it
+    top = nodes.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("top"))
+    named = nodes.join(top, "label").select("key", F.col("top.first").alias("class_id"), F.col("top.key").alias("class_key"), "n_links")
     return mine.select("doc_id", "key").join(named, "key")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The document rows, all columns, one of each class: that with its class's id."""
+    """The document rows, all columns, one of each class: that with its class's id and text."""
     found = stored(classes(docs, text, id_col, threshold), "classes")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
+    gone = found.filter(~stays).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     kept = docs.alias("a").join(gone.alias("g"), F.col(f"a.{id_col}").cast("long").eqNullSafe(F.col("g._id")) & (_key(f"a.{text}") == F.col("g._key")), "left_anti")
-    repeated = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
+    repeated = found.filter(stays).groupBy("doc_id", "key").count().filter("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text])
