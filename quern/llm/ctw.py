@@ -43,7 +43,9 @@ DEPTH = 5
 BROADCAST_ROWS = 12_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_MERGE = 4_000_000
+_MERGE = 1_000_000
+#: Bytes of text that are in hand at once.
+_PIECE = 1 << 19
 
 
 def grams(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +100,7 @@ def _counting(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = (_Counter(), _Counter())
         for batch in batches:
-            for piece in b.pieces(batch, "text"):
+            for piece in b.pieces(batch, "text", _PIECE):
                 training = piece.column("training")
                 for weight, part in ((1, piece.filter(training)), (0, piece.filter(pa.compute.invert(training)))):
                     if part.num_rows:
@@ -297,7 +299,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", divisor:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_gram, by_word = shared.value
             for batch in batches:
-                for piece in b.pieces(batch, "text"):
+                for piece in b.pieces(batch, "text", _PIECE):
                     g, n_g = grams(piece.column("text"), depth)
                     w, n_w = tokens(piece.column("text"))
                     c = by_word(w)
@@ -311,7 +313,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", divisor:
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for piece in b.pieces(batch, "text"):
+                for piece in b.pieces(batch, "text", _PIECE):
                     for k, of in ((0, grams), (1, tokens)):
                         found, n = of(piece.column("text"), depth) if k == 0 else of(piece.column("text"))
                         at = np.cumsum(n) - n
