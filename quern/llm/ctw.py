@@ -16,8 +16,9 @@ the same in any order of documents.
    depths 1 and 0 (bounded: 257 * 255) are combined from sums. Each gram gets the
    log10 probability of its last byte.
 3. A last map adds up the logs over every text. The tables of grams and words are
-   broadcast up to BROADCAST_ROWS rows; beyond that, keys with their counts per
-   document are joined to the tables instead. Both ways give the same sums.
+   broadcast up to BROADCAST_ROWS rows; beyond that, documents are dealt into
+   blocks of about BLOCK_BYTES, and each block is given the rows of the tables
+   that its distinct keys name. Both ways give the same sums.
 
 Words are told apart by 64-bit hashes. Defined cases: a null text is the empty
 text: one end; without training texts every bit has probability 1/2, and
@@ -41,6 +42,7 @@ from quern.llm.common import remainder, stored, text_of
 
 DEPTH = 5
 BROADCAST_ROWS = 12_000_000
+BLOCK_BYTES = 32 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MERGE = 1_000_000
@@ -291,50 +293,60 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", divisor:
     least = -math.log10(total + distinct + 1)
     log_end = math.log10(ends + 1) + least if total else 0.0
 
+    def scored(texts: pa.RecordBatch | pa.Table, by_gram: _Lookup, by_word: _Lookup) -> list[pa.Array]:
+        g, n_g = grams(texts.column("text"), depth)
+        w, n_w = tokens(texts.column("text"))
+        c = by_word(w)
+        base = _sums(np.log10(c + 1.0) + least, n_w) + log_end if total else np.zeros(len(n_w))
+        known = _sums((c > 0).astype(float), n_w).astype(np.int64) + (ends > 0)
+        return [texts.column("doc_id"), pa.array(n_w + 1), pa.array(known), pa.array(base), pa.array(_sums(by_gram(g), n_g)), pa.array(n_g - 1)]
+
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"]
+    result = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, n_bytes long"
     if max(n_words, table.count()) <= broadcast_rows:
         # behind the check above: 16 bytes a row
         parts = [(x["key"].to_numpy().view(np.uint64), x["v"].to_numpy()) for x in (table.select("key", "v").toArrow(), words.select("key", F.col("n").alias("v")).toArrow())]
         shared = spark.sparkContext.broadcast([_Lookup(*p) for p in parts])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_gram, by_word = shared.value
             for batch in batches:
                 for piece in b.pieces(batch, "text", _PIECE):
-                    g, n_g = grams(piece.column("text"), depth)
-                    w, n_w = tokens(piece.column("text"))
-                    c = by_word(w)
-                    base = _sums(np.log10(c + 1.0) + least, n_w) + log_end if total else np.zeros(len(n_w))
-                    yield pa.RecordBatch.from_arrays([
-                        piece.column("doc_id"), pa.array(n_w + 1), pa.array(_sums((c > 0).astype(float), n_w).astype(np.int64) + (ends > 0)), pa.array(base), pa.array(_sums(by_gram(g), n_g)), pa.array(n_g - 1),
-                    ], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
-
-        out = source.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+                    yield pa.RecordBatch.from_arrays(scored(piece, *shared.value), names=names)
+
+        out = source.select("doc_id", "text").mapInArrow(run, result)
     else:
+        # Blocks of documents, each with the rows of the tables that it needs: what is joined is a block's distinct keys.
+        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        blocks = max(1, -(-size // BLOCK_BYTES))
+        rows = source.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text")
+        rows = stored(rows.repartition(min(blocks, 100_000), "block"), "blocks")
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, tuple[_Counter, _Counter]] = {}
             for batch in batches:
-                for piece in b.pieces(batch, "text", _PIECE):
-                    for k, of in ((0, grams), (1, tokens)):
-                        found, n = of(piece.column("text"), depth) if k == 0 else of(piece.column("text"))
-                        at = np.cumsum(n) - n
-                        for i, id_ in enumerate(piece.column("row").to_pylist()):
-                            u, c = np.unique(found[at[i] : at[i] + n[i]], return_counts=True)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), id_, np.int64)), pa.array(np.full(len(u), k, np.int32)), pa.array(u.view(np.int64)), pa.array(c)], names=["row", "kind", "key", "c"])
-
-        rows = stored(source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
-        found = rows.select("row", "text").mapInArrow(keys, "row long, kind int, key long, c long")
+                for k in pa.compute.unique(batch.column("block")).to_pylist():
+                    for piece in b.pieces(batch.filter(pa.compute.equal(batch.column("block"), k)), "text", _PIECE):
+                        own = found.setdefault(k, (_Counter(), _Counter()))
+                        own[0].add(grams(piece.column("text"), depth)[0], 1)
+                        own[1].add(tokens(piece.column("text"))[0], 1)
+            for k, own in found.items():
+                for which, c in enumerate(own):
+                    c.merge()
+                    n = len(c.keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int64)), pa.array(np.full(n, which, np.int32)), pa.array(c.keys.view(np.int64))], names=["block", "kind", "key"])
+
+        wanted = rows.select("block", "text").mapInArrow(keys, "block long, kind int, key long").distinct()
         known = table.select(F.lit(0).alias("kind"), "key", "v").unionByName(words.select(F.lit(1).alias("kind"), "key", F.col("n").cast("double").alias("v")))
-        value = F.coalesce("v", F.lit(0.0))
-        sums = found.join(known, ["kind", "key"], "left").groupBy("row").agg(
-            F.sum(F.when(F.col("kind") == 1, F.col("c")).otherwise(0)).alias("words"),
-            F.sum(F.when((F.col("kind") == 1) & (value > 0), F.col("c")).otherwise(0)).alias("known"),
-            F.sum(F.when(F.col("kind") == 1, F.col("c") * (F.log10(value + 1) + least)).otherwise(0.0)).alias("base"),
-            F.sum(F.when(F.col("kind") == 0, F.col("c") * value).otherwise(0.0)).alias("score"),
-            (F.sum(F.when(F.col("kind") == 0, F.col("c")).otherwise(0)) - 1).alias("n_bytes"),
-        )
-        out = rows.select("row", "doc_id").join(sums, "row").select(
-            "doc_id", (F.col("words") + 1).alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), (F.col("base") + log_end if total else F.lit(0.0)).alias("base_score"), "score", "n_bytes"
-        )
+        met = wanted.join(known, ["kind", "key"]).select("block", "kind", "key", "v")
+
+        def block(texts: pa.Table, values: pa.Table) -> pa.Table:
+            of = []
+            for which in (0, 1):
+                x = values.filter(pa.compute.equal(values.column("kind"), which))
+                of.append(_Lookup(x.column("key").to_numpy().view(np.uint64), x.column("v").to_numpy()))
+            return pa.Table.from_arrays(scored(texts, *of), names=names)
+
+        out = rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(block, result)
     return out.select(
         "doc_id", (remainder(F.col("doc_id"), divisor) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes",
         (-F.col("score") * math.log2(10) / F.greatest(F.col("n_bytes") + 1, F.lit(1))).alias("bits_per_byte"),
