@@ -43,18 +43,19 @@ ENDINGS = {"latin": {"m": "o", "f": "a", "n": "en"}, "cyrillic": {"m": "ий", "
 _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + ")"
 _NAME = "\\p{Lu}\\p{Ll}{1,30}"
 PATTERNS = [
-    ("EMAIL", "[\\p{L}\\p{N}._%+\\-]++@[\\p{L}\\p{N}\\-]++(?:\\.[\\p{L}\\p{N}\\-]++)*\\.\\p{L}{2,}+"),
+    ("EMAIL", "(?<![\\p{L}\\p{N}._%+\\-])[\\p{L}\\p{N}._%+\\-]++@[\\p{L}\\p{N}\\-]++(?:\\.[\\p{L}\\p{N}\\-]++)*\\.\\p{L}{2,}+"),
     ("SECRET", "(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])"),
     ("IBAN", "(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("IP", "(?<![0-9.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?!\\.?[0-9])"),
     ("SSN", "(?<![0-9\\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\\-])"),
     ("PHONE", "(?<![0-9+])(?:\\+[0-9]{1,3}[ .\\-]?(?:\\([0-9]{1,4}\\)[ .\\-]?)?[0-9]{2,4}(?:[ .\\-]?[0-9]{2,4}){1,4}|\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])"),
     ("CARD", "(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \\-][0-9]{4}){3})(?![0-9])"),
-    ("NAME", f"(?<=(?<!\\p{{L}}){_TITLE}\\.? ){_NAME}(?!\\p{{L}})|(?<=(?<!\\p{{L}}){_TITLE}\\.? {_NAME} ){_NAME}(?!\\p{{L}})"),
+    # the look behind is dear, and made only where a name can begin
+    ("NAME", f"(?<= )(?=\\p{{Lu}}\\p{{Ll}})(?:(?<=(?<!\\p{{L}}){_TITLE}\\.? )|(?<=(?<!\\p{{L}}){_TITLE}\\.? {_NAME} )){_NAME}(?!\\p{{L}})"),
 ]
 ALL = "|".join(p for _, p in PATTERNS)
 #: What every match needs; cheap, and false for most texts.
-HINT = f"[0-9@]|{_TITLE}\\.? \\p{{Lu}}"
+HINT = f"[0-9@]|(?=[{''.join(sorted({x[0] for x in MALE + FEMALE}))}]){_TITLE}\\.? \\p{{Lu}}"
 
 
 def split_up(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -170,7 +171,7 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
 def occurrences(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, text_hash, i (from 0), entity, kind, canon of each distinct (id, text)."""
     found = docs.filter(text_of(text).rlike(HINT)).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("t"))
-    found = split_up(found, "t", "doc_id", "text_hash").filter(F.size("ents") > 0)
+    found = split_up(found, "t", "doc_id", "text_hash")
     found = found.select("doc_id", "text_hash", F.posexplode_outer(F.transform("ents", lambda e, i: F.struct(e.alias("entity"), _kind(i).alias("kind")))).alias("i", "x"))
     found = found.select("doc_id", "text_hash", "i", "x.entity", "x.kind").filter(F.col("entity").isNotNull())
     return found.withColumn("canon", canonical(F.col("kind"), F.col("entity"))).distinct()
