@@ -1,8 +1,8 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-A document is the weighted set of its 5-word shingles (lower-cased A-Z, words
-between blanks), of weight 1 + log(occurrences), so that a repeated line counts
-more, but not as often as it is repeated. ProbMinHash: every shingle
+A document is the set of its 5-word shingles (lower-cased A-Z, words between
+blanks), and again the same set weighted 1 + log(occurrences), so that a repeated
+line counts more, but not as often as it is repeated. ProbMinHash of both: every shingle
 sends arrivals of a Poisson process of its weight to random registers; a
 register keeps the shingle that arrives first, and a shingle stops as soon as
 its next arrival is later than every register's. Two registers agree with the
@@ -24,10 +24,14 @@ bucket. A bucket isn't expanded into its pairs:
 So no pair of the LSH candidates with Jaccard similarity t or more is lost, and
 the work follows the links, not the square of a group. Every compared pair is
 verified exactly: linked if the Jaccard similarity of the shingle sets is at least
-the threshold. (The two similarities are equal where no shingle repeats.) Classes are the connected components, found by label propagation with pointer
+the threshold. Classes are the connected components, found by label propagation with pointer
 jumping over tables in the shared folder.
 
-24 bands of 5 registers miss a pair at 0.8 with probability 8e-5, above it less.
+The registers of the plain set agree with the very similarity that decides a link,
+so 24 bands of 5 of them miss a pair at 0.8 with probability 8e-5, above it less,
+however often passages repeat. The 24 bands of the weighted set are offered besides,
+where any shingle repeats (else both are the same); they can only add candidates.
+A pair that is similar by the weighted measure alone is compared and not linked.
 
 Defined cases: a text of fewer than 5 words is one shingle of all its words; a
 text without words (null and empty alike) equals only equal texts; repeated rows
@@ -106,6 +110,15 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return b.mix((rows * _STEP[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
+def buckets(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bands of the plain set, and those of the weighted set that differ from them; the band's number is part of each hash."""
+    plain = bands(sketch(keys, np.ones(len(keys))))
+    if (counts == 1).all():
+        return plain
+    weighted = bands(sketch(keys, 1 + np.log(counts)))
+    return np.concatenate([plain, weighted[weighted != plain]])
+
+
 def jaccard(ka: np.ndarray, kb: np.ndarray) -> float:
     both = len(np.intersect1d(ka, kb, assume_unique=True))
     return both / max(1, len(ka) + len(kb) - both)
@@ -119,7 +132,7 @@ def _key(text: str) -> Column:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in b.pieces(batch, "text"):
-            out = [bands(sketch(k, 1 + np.log(w))).view(np.int64) if len(k) else np.zeros(0, np.int64) for k, w in shingles(piece.column("text"))]
+            out = [buckets(k, w).view(np.int64) if len(k) else np.zeros(0, np.int64) for k, w in shingles(piece.column("text"))]
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32), np.concatenate(out))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), lists], names=["doc_id", "key", "bands"])
 
@@ -183,12 +196,12 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", thresho
     """One row per document row: doc_id, key (digest of the text), class_id (the least id of its class), class_key (the text that has it), n_links (of its text with different texts)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text).alias("key"), text_of(text).alias("text"))
     mine = stored(source.mapInArrow(_signatures, "doc_id long, key binary, bands array<long>"), "signatures")
-    rows = mine.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.posexplode("bands").alias("band", "hash"))
-    shared = rows.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stored(rows.join(shared, ["band", "hash"]), "members")
+    rows = mine.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("hash"))
+    shared = rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(rows.join(shared, "hash"), "members")
     weights = members.groupBy("key").agg(F.sum("n").alias("weight"))
     weighed = members.join(weights, "key")
-    hubs = weighed.groupBy("band", "hash").agg(F.max(F.struct("weight", "key")).alias("top")).select("band", "hash", F.col("top.key").alias("hub"))
+    hubs = weighed.groupBy("hash").agg(F.max(F.struct("weight", "key")).alias("top")).select("hash", F.col("top.key").alias("hub"))
 
     needed = weights.select("key")
     if needed.count() <= BROADCAST_ROWS:
@@ -204,7 +217,7 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", thresho
         paired = with_texts(pairs).select("a", "b", "text_a", "text_b")
         return stored(paired.mapInArrow(_similar, "a binary, b binary, similarity double, size long"), "verified")
 
-    first = verified(members.join(hubs, ["band", "hash"]).filter("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
+    first = verified(members.join(hubs, "hash").filter("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
     linked = F.col("similarity") >= threshold
     links = first.filter(linked).select("a", "b")
     labels = components(links)

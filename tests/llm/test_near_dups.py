@@ -62,6 +62,19 @@ def test_classes_against_brute_force(spark, make_docs, prose):
     assert got == brute(list(enumerate(texts)))
 
 
+def test_near_copies_whose_passages_repeat_unequally(spark, make_docs, prose):
+    """Plain similarity 0.8 or more, a much lower weighted one; a hundred pairs of each kind, of which none may be missed."""
+    rng, texts = random.Random(8), []
+    for k in range(200):
+        passage, rest = prose(1000 + k, 100), prose(5000 + k, 400)
+        texts += [f"{passage} {rest}", f"{' '.join([passage] * (20, 100)[k % 2])} {edited(rng, rest, 8)}"]
+    sets = [dict(zip(s.tolist(), (1 + np.log(c)).tolist(), strict=True)) for s, c in n.shingles(pa.array(texts))]
+    plain = [len(a.keys() & b.keys()) / len(a.keys() | b.keys()) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert min(plain) >= 0.8 and probability_jaccard(sets[0], sets[1]) < 0.75 and probability_jaccard(sets[2], sets[3]) < 0.65
+    got = {r["doc_id"]: r["class_id"] for r in n.classes(make_docs(texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_one_of_each_class_stays(spark, make_docs, prose):
     docs = make_docs([prose(1, 50), prose(1, 50), prose(2, 50), None, "", prose(2, 50)], ids=[4, 3, 9, 10, 11, 9]).withColumn("key", F.lit("k")).withColumn("class_id", F.lit(0))
     out = n.deduplicated(docs)
