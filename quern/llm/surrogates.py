@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates (native: DataFrame expressions only).
 
 One pattern finds e-mail addresses, telephone numbers, IP addresses, card, bank
-and social security numbers, secrets, and names behind a title. A text is split
+and social security numbers, secrets, and names of up to four parts behind a title. A text is split
 at the matches; segments and matches alternate, so replacing is a join of arrays.
 
 Each distinct entity (type and canonical form) gets one surrogate for the whole
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import fresh, stored, text_of
 
 BROADCAST_ROWS = 200_000
-MALE = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "Г-н", "Господин", "Κύριος"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Г-жа", "Госпожа", "Κυρία"]
+MALE = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "Sir", "Lord", "Mister", "Г-н", "Господин", "Κύριος"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Dame", "Lady", "Mlle", "Mademoiselle", "Signorina", "Señorita", "Srta", "Dra", "Г-жа", "Госпожа", "Κυρία"]
+#: Titles without a gender.
+NEUTRAL = ["Dr", "Doctor", "Doktor", "Prof", "Professor", "Mx", "Rev", "Reverend", "Capt", "Captain", "Sgt", "Dott", "Д-р", "Проф"]
 #: Syllables of made-up names, by script; endings of given names by gender.
 SYLLABLES = {
     "latin": ["bel", "cor", "dan", "fer", "gal", "hol", "jar", "kel", "lom", "mar", "nor", "pel", "ros", "sel", "tam", "ver"],
@@ -40,22 +42,32 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": {"m": "o", "f": "a", "n": "en"}, "cyrillic": {"m": "ий", "f": "ия", "n": "ов"}, "greek": {"m": "ος", "f": "α", "n": "ιδης"}}
 
-_TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + ")"
-_NAME = "\\p{Lu}\\p{Ll}{1,30}"
+_TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + ")"
+_BLANK = "[\\s\\u00A0]{1,2}"
+#: One part of a name: inner capitals, one hyphen or apostrophe, or an initial.
+_NAME = "\\p{Lu}\\p{L}{0,30}(?:['’\\-]\\p{L}{1,30})?"
+_PART = f"(?:\\p{{Lu}}\\.|{_NAME}){_BLANK}"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_GROUPS = f"(?:{_HEX}(?::{_HEX}){{0,6}})?"
+#: Country codes; none begins with another.
+_COUNTRY = "(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 PATTERNS = [
     ("EMAIL", "(?<![\\p{L}\\p{N}._%+\\-])[\\p{L}\\p{N}._%+\\-]++@[\\p{L}\\p{N}\\-]++(?:\\.[\\p{L}\\p{N}\\-]++)*\\.\\p{L}{2,}+"),
     ("SECRET", "(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])"),
     ("IBAN", "(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("IP", "(?<![0-9.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?!\\.?[0-9])"),
     ("SSN", "(?<![0-9\\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\\-])"),
-    ("PHONE", "(?<![0-9+])(?:\\+[0-9]{1,3}[ .\\-]?(?:\\([0-9]{1,4}\\)[ .\\-]?)?[0-9]{2,4}(?:[ .\\-]?[0-9]{2,4}){1,4}|\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])"),
-    ("CARD", "(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \\-][0-9]{4}){3})(?![0-9])"),
-    # the look behind is dear, and made only where a name can begin
-    ("NAME", f"(?<= )(?=\\p{{Lu}}\\p{{Ll}})(?:(?<=(?<!\\p{{L}}){_TITLE}\\.? )|(?<=(?<!\\p{{L}}){_TITLE}\\.? {_NAME} )){_NAME}(?!\\p{{L}})"),
+    ("IPV6", f"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{{0,4}}:)(?=[A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|{_GROUPS}::{_GROUPS})(?![0-9A-Za-z:]|\\.[0-9])"),
+    ("CARD", "(?<![0-9+])(?:[0-9]{13,19}|[0-9]{4}(?:[ \\-][0-9]{4}){3}|3[47][0-9]{2}[ \\-][0-9]{6}[ \\-][0-9]{5}|3[0689][0-9]{2}[ \\-][0-9]{6}[ \\-][0-9]{4})(?![0-9])"),
+    ("PHONE", "(?<![0-9+])(?:\\+[0-9]{1,3}[ .\\-]?(?:\\([0-9]{1,4}\\)[ .\\-]?)?[0-9]{2,4}(?:[ .\\-]?[0-9]{2,4}){1,4}"
+     "|(?:1[ .\\-])?(?:\\([0-9]{3}\\)[ .\\-]?|[0-9]{3}[ .\\-])[0-9]{3}[ .\\-][0-9]{4}|\\(0[0-9]{1,4}\\)[ .\\-]?[0-9]{3,4}[ .\\-]?[0-9]{3,4}"
+     "|0[0-9]{2,4}[ .\\-][0-9]{3,4}[ .\\-][0-9]{3,4}|0[0-9]{3,4}[ \\-][0-9]{6}|0[0-9](?:[ .\\-][0-9]{2}){4})(?![0-9])"),
+    # the looks behind are dear, and made only where a name can begin; the longest only after a word with a capital
+    ("NAME", f"(?<=[\\s\\u00A0])(?=\\p{{Lu}})(?:(?<=(?<!\\p{{L}}){_TITLE}\\.?{_BLANK})|(?<=(?<!\\p{{L}})\\p{{Lu}}[\\p{{L}}'’.\\-]{{0,61}}{_BLANK})(?<=(?<!\\p{{L}}){_TITLE}\\.?{_BLANK}{_PART}(?:{_PART})?(?:{_PART})?))(?!{_TITLE}(?!\\p{{L}})){_NAME}(?!\\p{{L}})"),
 ]
 ALL = "|".join(p for _, p in PATTERNS)
 #: What every match needs; cheap, and false for most texts.
-HINT = f"[0-9@]|(?=[{''.join(sorted({x[0] for x in MALE + FEMALE}))}]){_TITLE}\\.? \\p{{Lu}}"
+HINT = f"[0-9@]|(?=[{''.join(sorted({x[0] for x in MALE + FEMALE + NEUTRAL}))}]){_TITLE}\\.?{_BLANK}\\p{{Lu}}"
 
 
 def split_up(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -66,12 +78,13 @@ def split_up(df: DataFrame, text: str, *keep: str) -> DataFrame:
 def _kind(i: Column) -> Column:
     """Type of the match i of segs and ents; of names with gender, from the title before them."""
     e, before, after = F.get("ents", i), F.get("segs", i), F.get("segs", i + 1)
-    male, female = ("(?:^|[^\\p{L}])(?:" + "|".join(x) + ")\\.? $" for x in (MALE, FEMALE))
+    male, female = ("(?:^|[^\\p{L}])(?:" + "|".join(x) + f")\\.?{_BLANK}$" for x in (MALE, FEMALE))
     title = before.rlike(male) | before.rlike(female)
-    full = (after == " ") & F.coalesce(F.get("ents", i + 1), F.lit("")).rlike(f"^{_NAME}$")
-    out = F.when(e.rlike(f"^{_NAME}$"), F.when(title & full, F.when(before.rlike(male), "GIVEN_M").otherwise("GIVEN_F")).otherwise("FAMILY"))
+    full = after.rlike(f"^\\.?{_BLANK}$") & F.coalesce(F.get("ents", i + 1), F.lit("")).rlike(f"^{_NAME}$")
+    out = F.when(F.lit(False), F.lit(""))
     for name, pattern in PATTERNS[:-1]:
         out = out.when(e.rlike(f"^(?:{pattern})$"), name)
+    out = out.when(e.rlike(f"^{_NAME}$"), F.when(title & full, F.when(before.rlike(male), "GIVEN_M").otherwise("GIVEN_F")).otherwise("FAMILY"))
     return out.otherwise("OTHER")
 
 
@@ -79,10 +92,11 @@ def canonical(kind: Column, e: Column) -> Column:
     """What two writings of one entity share."""
     digits = F.regexp_replace(e, "[^0-9]", "")
     return (
-        F.when(kind == "PHONE", F.concat(F.when(e.startswith("+"), F.concat(F.lit("+"), F.regexp_extract(e, "^\\+([0-9]{1,3})", 1), F.lit(" "))).otherwise(""), F.regexp_replace(F.regexp_replace(e, "^\\+[0-9]{1,3}", ""), "[^0-9]", "")))
+        F.when(kind == "PHONE", F.when(e.startswith("+"), F.regexp_replace(digits, f"^({_COUNTRY})", "+$1 ")).otherwise(digits))
         .when(kind.isin("CARD", "SSN"), digits)
         .when(kind == "IBAN", F.regexp_replace(e, " ", ""))
-        .when(kind.isin("EMAIL", "FAMILY", "GIVEN_M", "GIVEN_F"), F.lower(e))
+        .when(kind.isin("EMAIL", "IPV6"), F.lower(e))
+        .when(kind.isin("FAMILY", "GIVEN_M", "GIVEN_F"), F.lower(F.translate(e, "’", "'")))
         .otherwise(e)
     )
 
@@ -141,7 +155,7 @@ def surrogate(kind: Column, canon: Column, nonce: Column, key: str) -> Column:
     secret = secret.otherwise(F.concat(marked, _same_classes(F.substring(canon, F.length(marked) + 1, F.length(canon)), h)))
     iban = F.concat(F.substring(canon, 1, 2), _same_classes(F.substring(canon, F.lit(3), F.length(canon)), h))
     return (
-        F.when(kind == "EMAIL", email).when(kind == "IP", octets).when(kind == "PHONE", phone).when(kind == "CARD", card).when(kind == "SECRET", secret).when(kind == "IBAN", iban)
+        F.when(kind == "EMAIL", email).when(kind == "IP", octets).when(kind == "IPV6", _same_classes(canon, h, lower="abcdef")).when(kind == "PHONE", phone).when(kind == "CARD", card).when(kind == "SECRET", secret).when(kind == "IBAN", iban)
         .when(kind.isin("FAMILY", "GIVEN_M", "GIVEN_F"), _name(kind, canon, h, nonce)).otherwise(_same_classes(canon, h))
     )
 

@@ -44,6 +44,23 @@ def test_replacement(spark, make_docs):
     assert s.pseudonymised(docs.limit(0)).count() == 0
 
 
+def test_wider_forms_and_one_number_one_surrogate(spark, make_docs):
+    names = ["Dr Smith", "Prof Smith", "Mr McDonald", "Mr O'Brien", "Mr\nSmith", "Mr John Michael Smith", "Mrs Smith-Jones", "Herr Dr. Müller", "Mr J. R. Adams"]
+    numbers = ["555.123.4567", "555 123 4567", "020 7946 0958", "3782 822463 10005", "2001:db8:85a3::8a2e:370:7334", "fe80::1ff:fe23", "+15551234567", "+1 555 123 4567", "01 23 45 67 89"]
+    clean = ["at 12:30:45 std::vector", "Sirloin Steak and Drab Walls", "version 4.0.1 of 2024"]
+    out = [r["text"] for r in s.pseudonymised(make_docs([f"so {x} said" for x in names + numbers] + clean)).orderBy("doc_id").collect()]
+    assert out[-len(clean) :] == clean
+    for x, y in zip(names, out, strict=False):
+        title, *parts = re.split(r"\s", x)
+        assert y.startswith(f"so {title}") and y.endswith(" said") and not any(p.strip(".") in re.findall(r"[\w'-]+", y) for p in parts if p != "Dr."), y
+        assert not re.search(r"[-'](Jones|Brien)|Donald", y)
+    for x, y in zip(numbers, out[len(names) :], strict=False):
+        assert y[3:-5] != x and re.sub("[0-9a-f]", "0", y) == re.sub("[0-9a-f]", "0", f"so {x} said"), y
+        assert not any(g in re.findall(r"\w{4,}", y) for g in re.findall(r"\w{4,}", x)), y
+    one, two = (re.sub("[^0-9]", "", y) for y in out[len(names) + 6 : len(names) + 8])
+    assert one == two and one[0] == "1"
+
+
 def test_surrogates_stay_distinct(spark):
     # all two-digit endings of a small space: most first draws collide
     names = [(f"{'FAMILY'}", f"n{i:04d}") for i in range(6000)]
