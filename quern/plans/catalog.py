@@ -203,6 +203,32 @@ def storage_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).filter(~F.col("content").contains("/")).select("doc_id", text.storage_name(root).alias("name"), text.archive_name(F.col("codebase"), F.lit("m:x y"), F.col("doc_id")).alias("archive"))
 
 
+# The same operators over every row and whole texts. DuckDB has no cut by bytes, and the SQL of
+# the queries above is of their ASCII rows and prefixes; these have none and are tested by brute force.
+
+
+def knn_verbose_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.shaped(knn.nearest(chunks(spark, sf_dir), query_vector(spark, sf_dir), K), verbose=True).select("file", F.octet_length("snippet").cast("int").alias("bytes"))
+
+
+def truncate_bytes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select("doc_id", F.md5(text.cut_bytes("content", 1000)).alias("digest"))
+
+
+def slugify_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select("doc_id", text.slugify("content").alias("slug"))
+
+
+def markdown_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/notes/"), F.col("doc_id").cast("string"), F.lit(".MD"))).otherwise("/notes/")
+    return files(spark, sf_dir).select("doc_id", text.markdown_path(out, "content").alias("path"))
+
+
+def storage_name_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = F.concat(F.lit("/a b/"), "content")
+    return files(spark, sf_dir).select("doc_id", text.storage_name(root).alias("name"), text.archive_name(F.col("codebase"), F.lit("m:x y"), F.col("doc_id")).alias("archive"))
+
+
 def markdown_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunks(spark, sf_dir)
     score = F.round((F.col("doc_id") % 977) / 977, 4)
@@ -312,6 +338,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         knn_topk, knn_join_chunks, knn_verbose, knn_area_pre, knn_area_post, knn_exclude_deprecated, knn_all_merge, knn_most_recent, knn_all_matching, knn_language_filter, knn_batch, knn_lsh, find_similar, vector_norms,
         chunk_fixed, chunk_sub_offset, join_lines, detect_language, fence_language, binary_filter, size_filter, file_hash, embed_text, truncate_bytes, snippet_preview, slugify, markdown_path, human_size, storage_name, markdown_hit,
+        knn_verbose_whole, truncate_bytes_whole, slugify_whole, markdown_path_whole, storage_name_whole,
         incremental_changed, incremental_skipped, upsert_replace, drop_null_vectors, prefix_counts, cascade_delete_prefix, batch_assign, latest_run, status_counts, run_error_json,
         codebase_rollup, codebase_list, registry_upsert, registry_deprecate, registry_purge, model_match, health_counts, resolve_longest_prefix,
     )
