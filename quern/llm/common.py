@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +29,60 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+#: Paths of the tables that stored() wrote in each open scratch().
+_scratches: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder. Cuts the lineage: a lost executor costs a re-read, not a re-run."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratches:
+        _scratches[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables through Spark's file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+class Scratch:
+    """The tables of one scratch()."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """df stored as a table that outlives this scratch; an enclosing one, if any, removes it."""
+        out = stored(df, name)
+        path = self.paths.pop()
+        if len(_scratches) > 1:
+            _scratches[-2].append(path)
+        return out
+
+    def drop(self) -> None:
+        """Removes the tables so far. Nothing that is still to be read may depend on them."""
+        removed(self.spark, self.paths)
+        self.paths.clear()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Tables that stored() writes inside are removed at the end, but for what kept() wrote."""
+    own = Scratch(spark)
+    _scratches.append(own.paths)
+    try:
+        yield own
+    finally:
+        _scratches.remove(own.paths)
+        own.drop()
+
+
 def text_of(column: str | Column) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

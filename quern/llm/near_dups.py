@@ -11,21 +11,26 @@ probability Jaccard similarity of the documents.
 Equal texts become one node. Nodes that agree in a band of registers fall into a
 bucket. A bucket isn't expanded into its pairs:
 
-1. Every member is compared with the bucket's hub, the member that meets most
-   others over all bands; of edited copies that is as a rule the original.
-2. Two members x, y of one hub h may still be similar to each other and not both
-   to h. Order the shingles of each by (in h, hash). If J(x, y) >= t, they share
-   one of the first |x| - ceil(t / (1 + t) * (|x| + least size)) + 1 shingles
-   (prefix filter). What x has in common with h comes last, so a copy that is too
-   far from h offers only its own edits, and meets only members that share some.
-   Members with one shared offer are compared with one of them, and then, where
-   components still differ, with each other.
-
-So no pair of the LSH candidates with Jaccard similarity t or more is lost, and
-the work follows the links, not the square of a group. Every compared pair is
-verified exactly: linked if the Jaccard similarity of the shingle sets is at least
-the threshold. Classes are the connected components, found by label propagation with pointer
-jumping over tables in the shared folder.
+1. Every member is compared with the bucket's hub h, the member that meets most
+   others over all bands; of edited copies that is as a rule the original. Only the
+   shingles in which it differs from h, D(x), are kept.
+2. Two members x, y of one hub may be similar to each other and not both to h.
+   With r = (1 - t) / (1 + t), J(x, y) >= t holds exactly if D(x) and D(y) share
+   at least (e(x) + e(y)) / 2 shingles, where e(x) = |D(x)| - r |x|. That number
+   is above 0 for such pairs: copies that are too far from h can only be near
+   each other where they differ from h in the same way. So the shingles of each
+   D, rarest within the hub's group first, are offered as a prefix filter, and
+   two members meet only where, at the places of the shared shingle, as many are
+   left on either side. Edits made at random meet nowhere. Members that meet are
+   compared with one of those that share the shingle, and then, where components
+   still differ, with each other.
+
+So no pair of the LSH candidates with Jaccard similarity t or more is lost to the
+classes, and the work follows the differences, not the square of a group. Every
+link is verified exactly, by the sizes of the sets and of what D(x) and D(y) share.
+Classes are the connected components, found by label propagation with pointer
+jumping over tables in the shared folder. Texts leave their rows once, as sets of
+shingles; hubs of many members are dealt out by a salt.
 
 The registers of the plain set agree with the very similarity that decides a link,
 so 24 bands of 5 of them miss a pair at 0.8 with probability 8e-5, above it less,
@@ -35,8 +40,10 @@ A pair that is similar by the weighted measure alone is compared and not linked.
 
 Defined cases: a text of fewer than 5 words is one shingle of all its words; a
 text without words (null and empty alike) equals only equal texts; repeated rows
-fall into one class; a null id is no class's id unless all its ids are null;
-an empty table gives an empty result.
+fall into one class; a null id is no class's id unless all its ids are null; texts of any
+length are compared whole; of rows of different texts with the least id, the least digest
+stands for the class; columns other than id and text aren't looked at, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,15 +52,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import bytes_np as b
-from quern.llm.common import stored, text_of
+from quern.llm.common import scratch, stored, text_of
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 24, 5, 0.8
 #: Rows up to which keys are broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Members of a hub in one task of their comparison with it.
+HUB_ROWS = 500
+#: For sums of doubles.
+_SLACK = 1e-6
 _STEP = np.random.Generator(np.random.Philox(77)).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -119,11 +130,6 @@ def buckets(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([plain, weighted[weighted != plain]])
 
 
-def jaccard(ka: np.ndarray, kb: np.ndarray) -> float:
-    both = len(np.intersect1d(ka, kb, assume_unique=True))
-    return both / max(1, len(ka) + len(kb) - both)
-
-
 def _key(text: str) -> Column:
     """128 bits of a strong digest of the text."""
     return F.unhex(F.substring(F.sha2(text_of(text), 256), 1, 32))
@@ -137,133 +143,151 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), lists], names=["doc_id", "key", "bands"])
 
 
-def _sets(piece: pa.RecordBatch) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
-    """Shingles by key of both sides of a batch of pairs; each text is cut up once."""
-    found: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-    for side in "ab":
-        new = {k: i for i, k in enumerate(piece.column(side).to_pylist()) if k not in found}
-        if new:
-            found |= dict(zip(new, shingles(piece.column(f"text_{side}").take(pa.array(list(new.values()), pa.int64()))), strict=True))
-    return found
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in b.pieces(batch, "text"):
+            sets = [k for k, _ in shingles(piece.column("text"))]
+            yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "set"])
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a hub's set and a member's: their sizes and the shingles that one of them alone has."""
     for batch in batches:
-        for piece in b.pieces(batch, "text_b"):
-            found = _sets(piece)
-            pairs = list(zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), strict=True))
-            sims = [jaccard(found[x][0], found[y][0]) for x, y in pairs]
-            sizes = [len(found[y][0]) for _, y in pairs]
-            yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(sims, pa.float64()), pa.array(sizes, pa.int64())], names=["a", "b", "similarity", "size"])
-
-
-def _offers(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in b.pieces(batch, "text_b"):
-                found = _sets(piece)
-                rows = []
-                for hub, key, least in zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), piece.column("least").to_pylist(), strict=True):
-                    own = found[key][0]
-                    common = np.isin(own, found[hub][0], assume_unique=True)
-                    partner = max(least, threshold * len(own))
-                    many = len(own) - int(np.ceil(threshold / (1 + threshold) * (len(own) + partner) - 1e-9)) + 1
-                    rows.append(np.concatenate([own[~common], own[common]])[: max(many, 1)])
-                n = np.array([len(x) for x in rows])
-                at = np.repeat(np.arange(len(rows)), n)
-                yield pa.RecordBatch.from_arrays([piece.column("a").take(at), piece.column("b").take(at), pa.array(np.concatenate(rows).view(np.int64))], names=["hub", "key", "shingle"])
-
-    return run
+        for piece in b.pieces(batch, "set_b"):
+            sizes, diffs = [], []
+            for x, y in zip(piece.column("set_a"), piece.column("set_b"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                sizes.append((len(x), len(y)))
+                diffs.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in diffs])]).astype(np.int32), np.concatenate(diffs))
+            sizes = np.array(sizes, np.int64)
+            yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(sizes[:, 0]), pa.array(sizes[:, 1]), lists], names=["a", "b", "size_a", "size", "diff"])
+
+
+def _is_link(sizes: Column, apart: Column, threshold: float) -> Column:
+    """Whether two sets are similar, from the sum of their sizes and the number of shingles that one of them alone has."""
+    return (sizes - apart) / (sizes + apart) >= threshold
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, label) of all keys in links (a, b): label is the least key of the component."""
-    ends = links.select(F.col("a").alias("key"), F.col("b").alias("other"))
-    ends = stored(ends.union(ends.select("other", "key")).distinct(), "ends")
-    labels = ends.groupBy("key").agg(F.least(F.min("other"), F.col("key")).alias("label"))
-    labels = stored(labels, "labels")
-    while True:
-        near = ends.join(labels.select(F.col("key").alias("other"), F.col("label").alias("l")), "other").groupBy("key").agg(F.min("l").alias("l"))
-        step = labels.join(near, "key").select("key", F.col("label").alias("was"), F.least("label", "l").alias("label"))
-        jump = labels.select(F.col("key").alias("label"), F.col("label").alias("l2"))
-        step = stored(step.join(jump, "label", "left").select("key", "was", F.least("label", F.coalesce("l2", "label")).alias("label")), "labels")
-        if step.filter(F.col("was") != F.col("label")).isEmpty():
-            return step.select("key", "label")
-        labels = step.select("key", "label")
+    with scratch(links.sparkSession) as own:
+        ends = links.select(F.col("a").alias("key"), F.col("b").alias("other"))
+        ends = stored(ends.union(ends.select("other", "key")).distinct(), "ends")
+        labels = ends.groupBy("key").agg(F.least(F.min("other"), F.col("key")).alias("label"))
+        labels = stored(labels, "labels")
+        while True:
+            near = ends.join(labels.select(F.col("key").alias("other"), F.col("label").alias("l")), "other").groupBy("key").agg(F.min("l").alias("l"))
+            step = labels.join(near, "key").select("key", F.col("label").alias("was"), F.least("label", "l").alias("label"))
+            jump = labels.select(F.col("key").alias("label"), F.col("label").alias("l2"))
+            step = stored(step.join(jump, "label", "left").select("key", "was", F.least("label", F.coalesce("l2", "label")).alias("label")), "labels")
+            if step.filter(F.col("was") != F.col("label")).isEmpty():
+                return own.kept(step.select("key", "label"), "components")
+            labels = step.select("key", "label")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after links (a, b) joined some components; a key without a label is its own."""
+    ends = links
+    for x in "ab":
+        ends = ends.join(labels.select(F.col("key").alias(x), F.col("label").alias(f"l{x}")), x, "left").withColumn(f"l{x}", F.coalesce(f"l{x}", x))
+    joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a != b").distinct())
+    known = labels.select("key", "label").unionByName(joined.select("key", F.col("key").alias("label"))).dropDuplicates(["key"])
+    joined = joined.select(F.col("key").alias("label"), F.col("label").alias("new"))
+    return stored(known.join(joined, "label", "left").select("key", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def _offers(first: DataFrame, ratio: float) -> DataFrame:
+    """(hub, shingle, key, e, reach, near, size_d): the prefixes of the differences with a hub, for hubs with a member that isn't linked to them.
+
+    A pair can be a link only if, at a shingle that both offer, the e of each is at most the reach of the other.
+    """
+    held = first.select(F.col("a").alias("hub"), F.col("b").alias("key"), "near", "diff", F.size("diff").alias("size_d"), (F.size("diff") - ratio * F.col("size")).alias("e"))
+    far = F.when(~F.col("near"), F.col("e"))
+    groups = held.groupBy("hub").agg(F.count("*").alias("n"), F.min("e").alias("least"), F.min(far).alias("least_far"))
+    held = held.join(groups.filter("n > 1 and least_far is not null").drop("n"), "hub")
+    tokens = held.select("hub", "key", "near", "size_d", "e", F.when(F.col("near"), F.col("least_far")).otherwise(F.col("least")).alias("partner"), F.explode_outer("diff").alias("shingle"))
+    tokens = stored(tokens.filter(F.col("shingle").isNotNull()), "tokens")
+    # only what several members hold, one of them apart from the hub, can bring two together; the others come first in the order
+    often = tokens.groupBy("hub", "shingle").agg(F.count("*").alias("held"), F.min("near").alias("all_near"))
+    often = tokens.join(often.filter("held > 1"), ["hub", "shingle"])
+    order = Window.partitionBy("hub", "key").orderBy("held", "shingle")
+    whole = Window.partitionBy("hub", "key")
+    place = F.col("size_d") - F.count("*").over(whole) + F.row_number().over(order) - 1
+    placed = often.withColumn("reach", 2.0 * (F.col("size_d") - place) - F.col("e"))
+    return placed.filter((F.col("reach") >= F.col("partner") - _SLACK) & ~F.col("all_near")).select("hub", "shingle", "key", "near", "e", "reach", "size_d")
 
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document row: doc_id, key (digest of the text), class_id (the least id of its class), class_key (the text that has it), n_links (of its text with different texts)."""
+    """One row per document row: doc_id, key (digest of the text), class_id (the least id of its class), class_key (the text that has it)."""
+    with scratch(docs.sparkSession) as own:
+        return own.kept(_classes(docs, text, id_col, threshold), "classes")
+
+
+def _classes(docs: DataFrame, text: str, id_col: str, threshold: float) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text).alias("key"), text_of(text).alias("text"))
     mine = stored(source.mapInArrow(_signatures, "doc_id long, key binary, bands array<long>"), "signatures")
     rows = mine.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("hash"))
     shared = rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(rows.join(shared, "hash"), "members")
-    weights = members.groupBy("key").agg(F.sum("n").alias("weight"))
-    weighed = members.join(weights, "key")
-    hubs = weighed.groupBy("hash").agg(F.max(F.struct("weight", "key")).alias("top")).select("hash", F.col("top.key").alias("hub"))
+    weights = stored(members.groupBy("key").agg(F.sum("n").alias("weight")), "weights")
+    hubs = members.join(weights, "key").groupBy("hash").agg(F.max(F.struct("weight", "key")).alias("top")).select("hash", F.col("top.key").alias("a"))
+    pairs = stored(members.join(hubs, "hash").filter("key != a").select("a", F.col("key").alias("b")).distinct(), "pairs")
 
     needed = weights.select("key")
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
-    texts = stored(source.join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
-
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(right, "b").join(left, "a")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        paired = with_texts(pairs).select("a", "b", "text_a", "text_b")
-        return stored(paired.mapInArrow(_similar, "a binary, b binary, similarity double, size long"), "verified")
-
-    first = verified(members.join(hubs, "hash").filter("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
-    linked = F.col("similarity") >= threshold
-    links = first.filter(linked).select("a", "b")
-    labels = components(links)
-    # members of a hub of which one is apart from it: pairs of them may be links
-    groups = first.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.when(linked, 0).otherwise(1)).alias("apart"), F.min("size").alias("least"))
-    groups = groups.filter("n > 1 and apart > 0").select("a", "least")
-    offers = with_texts(first.select("a", "b").join(groups, "a")).select("a", "b", "least", "text_a", "text_b")
-    offers = stored(offers.mapInArrow(_offers(threshold), "hub binary, key binary, shingle long"), "offers")
-    for step in ("one", "rest"):
+    texts = source.join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    sets = stored(texts.mapInArrow(_sets, "key binary, set binary"), "sets")
+    # a hub of many members has as many rows as it takes, so that no task gets all of them
+    salts = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).alias("salts")).filter("salts > 1"), "salts")
+    if salts.count() <= BROADCAST_ROWS:
+        salts = F.broadcast(salts)
+    hubs = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")).join(salts, "a", "left")
+    hubs = hubs.withColumn("salt", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    pairs = pairs.join(salts, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    pairs = pairs.join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b").join(hubs, ["a", "salt"])
+    first = pairs.select("a", "b", "set_a", "set_b").mapInArrow(_compared, "a binary, b binary, size_a long, size long, diff array<long>")
+    first = stored(first.withColumn("near", _is_link(F.col("size_a") + F.col("size"), F.size("diff"), threshold)), "first")
+    labels = components(first.filter("near").select("a", "b"))
+
+    offers = stored(_offers(first, (1 - threshold) / (1 + threshold)), "offers")
+    for step in ("one", "all"):
         if offers.isEmpty():
             break
         labelled = offers.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = labelled.groupBy("hub", "shingle").agg(F.min("label").alias("l1"), F.max(F.struct("label", "key")).alias("top")).filter("l1 != top.label")
+        far = F.when(~F.col("near"), F.struct("size_d", "key", "label", "e", "reach"))
+        mixed = labelled.groupBy("hub", "shingle").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min(far).alias("top")).filter("l1 != l2 and top is not null")
+        x = labelled.alias("x")
         if step == "one":
-            pairs = labelled.join(mixed.select("hub", "shingle", F.col("top.label").alias("la"), F.col("top.key").alias("a")), ["hub", "shingle"]).filter("label != la").select("a", F.col("key").alias("b"))
+            y = mixed.select("hub", "shingle", "top.*", F.lit(False).alias("near")).alias("y")
         else:
-            left = stored(labelled.join(mixed.select("hub", "shingle"), ["hub", "shingle"]), "mixed")
-            one, two = (left.select("hub", "shingle", F.col("key").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-            pairs = one.join(two, ["hub", "shingle"]).filter("la < lb").select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = verified(pairs).filter(linked).select("a", "b")
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        # only the components that the new links join
-        ends = more
-        for x in "ab":
-            ends = ends.join(labels.select(F.col("key").alias(x), F.col("label").alias(f"l{x}")), x, "left").withColumn(f"l{x}", F.coalesce(f"l{x}", x))
-        joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a != b").distinct())
-        known = labels.select("key", "label").unionByName(joined.select("key", F.col("key").alias("label"))).dropDuplicates(["key"])
-        joined = joined.select(F.col("key").alias("label"), F.col("label").alias("new"))
-        labels = stored(known.join(joined, "label", "left").select("key", F.coalesce("new", "label").alias("label")), "labels")
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count("*").alias("n_links"))
-    nodes = mine.groupBy("key").agg(F.min("doc_id").alias("first")).join(labels, "key", "left").join(degree, "key", "left")
-    nodes = nodes.select("key", "first", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    nodes = stored(nodes, "nodes")
+            x, y = (stored(labelled.join(mixed.select("hub", "shingle"), ["hub", "shingle"]), "mixed").alias(v) for v in "xy")
+        met = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label"))
+        met = met & (F.col("x.e") <= F.col("y.reach") + _SLACK) & (F.col("y.e") <= F.col("x.reach") + _SLACK) & ~(F.col("x.near") & F.col("y.near"))
+        if step == "all":
+            met = met & (F.col("x.key") < F.col("y.key"))
+        ends = (F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+        found = stored(x.join(y, met).groupBy(*ends).agg(F.min("x.hub").alias("hub")), "met")
+        # what two differences with one hub share tells how similar the members are
+        for side in "ab":
+            member = first.select(F.col("a").alias("hub"), F.col("b").alias(side), F.col("diff").alias(f"diff_{side}"), F.col("size").alias(f"size_{side}"))
+            found = found.join(member, ["hub", side])
+        apart = F.size("diff_a") + F.size("diff_b") - 2 * F.size(F.array_intersect("diff_a", "diff_b"))
+        links = stored(found.filter(_is_link(F.col("size_a") + F.col("size_b"), apart, threshold)).select("a", "b"), "links")
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+    nodes = mine.groupBy("key").agg(F.min("doc_id").alias("first")).join(labels, "key", "left")
+    nodes = stored(nodes.select("key", "first", F.coalesce("label", "key").alias("label")), "nodes")
     # the least id stands for the class, with the least text where rows of several texts have it
     top = nodes.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("top"))
-    named = nodes.join(top, "label").select("key", F.col("top.first").alias("class_id"), F.col("top.key").alias("class_key"), "n_links")
+    named = nodes.join(top, "label").select("key", F.col("top.first").alias("class_id"), F.col("top.key").alias("class_key"))
     return mine.select("doc_id", "key").join(named, "key")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The document rows, all columns, one of each class: that with its class's id and text."""
-    found = stored(classes(docs, text, id_col, threshold), "classes")
+    found = classes(docs, text, id_col, threshold)
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
     gone = found.filter(~stays).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     if gone.count() <= BROADCAST_ROWS:

@@ -79,7 +79,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.near_dups import classes
 
-    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

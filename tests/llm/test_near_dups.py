@@ -95,3 +95,70 @@ def test_components(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert got == label
+
+
+def test_a_group_of_copies_far_from_its_original(spark, make_docs, prose):
+    """Edited at random, copied again from edited ones, and in two variants: most pairs are near 0.7, no link may be lost and none made up."""
+    rng = random.Random(12)
+    base = prose(31, 120)
+    texts = [base] + [edited(rng, base, rng.randrange(1, 14)) for _ in range(150)]
+    for _ in range(3):
+        variant = edited(rng, base, 5)
+        texts += [edited(rng, variant, rng.randrange(0, 4)) for _ in range(30)]
+    texts += [edited(rng, texts[rng.randrange(len(texts))], rng.randrange(1, 3)) for _ in range(60)]
+    got = {r["doc_id"]: r["class_id"] for r in n.classes(make_docs(texts)).collect()}
+    want = brute(list(enumerate(texts)))
+    assert len(set(want.values())) > 40 and got == want
+
+
+def test_hot_hubs_are_dealt_out(spark, make_docs, prose):
+    rng = random.Random(13)
+    base = prose(41, 60)
+    texts = [f"{base} tail{i}" for i in range(60)] + [edited(rng, base, 3) for _ in range(20)]
+    was, n.HUB_ROWS = n.HUB_ROWS, 7
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in n.classes(make_docs(texts)).collect()}
+    finally:
+        n.HUB_ROWS = was
+    assert got == brute(list(enumerate(texts)))
+
+
+def test_recall_of_the_bands(prose):
+    """Pairs at 0.8 to 0.85 share a band; far ones rarely do."""
+    rng, met, far = random.Random(14), [], []
+    for k in range(300):
+        base = prose(9000 + k, 150)
+        sets = [s for s, _ in n.shingles(pa.array([base, edited(rng, base, 3), prose(19000 + k, 150)]))]
+        found = [set(n.buckets(s, np.ones(len(s), int)).tolist()) for s in sets]
+        if 0.8 <= len(np.intersect1d(sets[0], sets[1])) / len(np.union1d(sets[0], sets[1])) <= 0.85:
+            met.append(bool(found[0] & found[1]))
+        far.append(bool(found[0] & found[2]))
+    assert len(met) > 100 and np.mean(met) >= 0.99 and not any(far)
+
+
+def test_nulls_long_texts_and_clashing_names(spark, make_docs, prose):
+    long = prose(51, 25_000)
+    docs = make_docs([long, long + " end", None, "", prose(52, 40), prose(52, 40)], ids=[1, 2, 3, 4, None, None])
+    for c in ("key", "bands", "hash", "a", "b", "label", "class_id", "salt", "set", "diff", "near", "hub"):
+        docs = docs.withColumn(c, F.lit(0))
+    got = sorted(((r["doc_id"], r["class_id"]) for r in n.classes(docs).collect()), key=str)
+    assert got == [(1, 1), (2, 1), (3, 3), (4, 3), (None, None), (None, None)]
+    out = n.deduplicated(docs)
+    assert out.columns == docs.columns and sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 3, None]
+
+
+def test_words_of_regular_sequences_have_different_hashes():
+    from quern.llm import bytes_np as b
+
+    words = []
+    for power in range(6, 13):
+        one, two = "a", "b"
+        for _ in range(power):
+            one, two = one + two, two + one
+        words += [one, two]
+    words += ["a" * k for k in range(1, 40)] + ["abcdefgh" * 2, "abcdefghhgfedcba", "hgfedcbaabcdefgh"]
+    data, offsets = b.raw(pa.array(words))
+    assert len(set(b.span_hashes(data, offsets[:-1], offsets[1:]).tolist())) == len(words)
+    data, offsets = b.raw(pa.array(["ABC", "abc", ""]))
+    low, exact = (b.span_hashes(data, offsets[:-1], offsets[1:], lower=x).tolist() for x in (True, False))
+    assert low[0] == low[1] != low[2] and exact[0] != exact[1]
