@@ -1,4 +1,4 @@
-"""Command line: index, search, save, status, list, info, remove, rebuild, prune, doctor."""
+"""Command line: serve, index, search, save, status, list, info, remove, rebuild, prune, doctor."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import os
 import sys
 from collections.abc import Sequence
 
-COMMANDS = ("index", "search", "save", "status", "list", "info", "remove", "forget", "rebuild", "prune", "doctor", "check", "help")
+from quern.serve import serve
+
+COMMANDS = ("serve", "index", "search", "save", "status", "list", "info", "remove", "forget", "rebuild", "prune", "doctor", "check", "help")
 
 
 class _Parser(argparse.ArgumentParser):
@@ -82,12 +84,14 @@ def _print(rows: list[dict] | dict, as_json: bool) -> None:
 
 
 def run(engine, command: str, a: argparse.Namespace) -> int:  # noqa: ANN001
-    if command == "index":
+    if command == "serve":
+        serve(engine)
+    elif command == "index":
         result = engine.rebuild(a.root or ".", reembed=True) if a.reembed else engine.index(a.root or ".")
         for e in result.errors:
             print(f"{e['file']}: {e['error']}", file=sys.stderr)
         return int(bool(result.errors) and not result.files_processed)
-    if command == "search":
+    elif command == "search":
         found = engine.search(a.query, a.limit, codebase=a.codebase, all_=a.all, area=a.area, language=a.language, chunk_type=a.type, verbose=a.verbose)
         _print([r.asDict() for r in found.collect()], a.json)
     elif command == "save":

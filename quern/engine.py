@@ -1,17 +1,19 @@
 """The engine: index directory trees, search them, and keep the registry.
 
 Tables live in a warehouse folder as Parquet, files and chunks partitioned by
-codebase and generation, so that a search opens only its codebases. A run writes
-a new generation of the changed codebase and then moves one pointer, the
-registry; a run that dies leaves the old generation in place. Nothing that is
-being read is overwritten.
+codebase and generation, so that a search opens only its codebases. A run appends
+a generation with what has changed (files written anew, and marks for those that are
+gone) and then moves one pointer, the registry; a run that dies leaves the old
+generations in place, and one that finds nothing changed writes none. Of a file, its
+latest generation counts: a join of the chunks with the latest (file, generation), left out
+where there is only one. Many generations are compacted into one. Nothing that is
+being read is overwritten, and all of it goes through Spark's file system.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 import uuid
 from collections.abc import Callable
@@ -27,7 +29,10 @@ from quern.functions import text
 from quern.functions.report import render
 from quern.operators import chunk, embed, knn, registry, tables
 from quern.sources import codebase as source
+from quern.sources.store import Store
 
+#: Generations of a codebase beyond which a run writes them as one; versions of the registry that are kept.
+GENERATIONS, VERSIONS = 8, 5
 SEARCH_LIMIT, SAVE_LIMIT = 6, 10
 
 
@@ -50,52 +55,68 @@ class Engine:
         self.spark, self.config = spark, config or Config()
         self.embedder = embedder or embed.HttpEmbedder(self.config.model_url, self.config.model, self.config.dims)
         self.progress = progress or (lambda _: None)
-        os.makedirs(self.config.warehouse, exist_ok=True)
+        self.store = Store(spark, self.config.warehouse)
 
     # --- tables ---------------------------------------------------------------
-    def _at(self, *parts: str) -> str:
-        return os.path.join(self.config.warehouse, *parts)
+    def _generations(self, entry: Row) -> list[str]:
+        return [g for g in (entry["generation"] or "").split(",") if g]
 
-    def _generation(self, table: str, entry: Row) -> str:
-        return self._at(table, f"codebase={text_name(entry['root'])}", f"generation={entry['generation']}")
+    def _at(self, table: str, root: str, generation: str) -> str:
+        return self.store.at(table, f"codebase={text_name(root)}", f"generation={generation}")
+
+    def _version(self) -> int:
+        found = [int(n[1:-5]) for n in self.store.names(self.store.at("registry")) if n.startswith("v") and n.endswith(".json")]
+        return max(found, default=0)
 
     def codebases(self) -> DataFrame:
-        """The registry. A file that can't be read is an error, not an empty registry."""
-        path = self._at("registry.json")
-        rows = []
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                rows = json.load(f)
+        """The registry: its last version. One that can't be read is an error, not an empty registry."""
+        n = self._version()
+        rows = json.loads(self.store.read(self.store.at("registry", f"v{n:08d}.json"))) if n else []
         frame = self.spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in rows], _AS_TEXT)
         return frame.select(*(F.to_timestamp(c).alias(c) if c in TIMES else F.col(c) for c in COLUMNS))
 
     def _save(self, codebases: DataFrame) -> None:
-        """One row per codebase; a new file takes the old one's place in one step."""
+        """One row per codebase, as a new version; where another run has written that version meanwhile, this one fails."""
+        n = self._version() + 1
         rows = [{c: (r[c].astimezone(timezone.utc).isoformat() if c in TIMES and r[c] else r[c]) for c in COLUMNS} for r in codebases.orderBy("root", "generation").collect()]
-        path = self._at("registry.json")
-        with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-            json.dump(rows, f, indent=2)
-        os.replace(f"{path}.tmp", path)
+        self.store.write_new(self.store.at("registry", f"v{n:08d}.json"), json.dumps(rows, indent=2))
+        for k in range(max(1, n - 2 * VERSIONS), n - VERSIONS + 1):
+            self.store.delete(self.store.at("registry", f"v{k:08d}.json"))
 
     def _entry(self, root: str) -> Row | None:
         return registry.active(self.codebases()).filter(F.col("root") == root).head()
 
     def _table(self, name: str, entries: list[Row], ddl: str) -> DataFrame:
-        paths = [p for e in entries if os.path.isdir(p := self._generation(name, e))]
+        paths = [p for e in entries for g in self._generations(e) if self.store.exists(p := self._at(name, e["root"], g))]
         return self.spark.read.schema(ddl).parquet(*paths) if paths else self.spark.createDataFrame([], ddl)
 
+    def _files(self, entries: list[Row]) -> DataFrame:
+        found = self._table("files", entries, schema.FILES)
+        return tables.latest(found, entries if any(len(self._generations(e)) > 1 for e in entries) else None)
+
+    def _chunks(self, entries: list[Row]) -> DataFrame:
+        found = self._table("chunks", entries, schema.CHUNKS)
+        if not any(len(self._generations(e)) > 1 for e in entries):
+            return found
+        return found.join(self._files(entries).select("codebase", "file_path", "generation"), ["codebase", "file_path", "generation"], "left_semi").select(*found.columns)
+
     def files(self, roots: list[str]) -> DataFrame:
-        return self._table("files", self._active(roots), schema.FILES)
+        return self._files(self._active(roots))
 
     def chunks(self, roots: list[str]) -> DataFrame:
-        return self._table("chunks", self._active(roots), schema.CHUNKS)
+        return self._chunks(self._active(roots))
 
     def _active(self, roots: list[str]) -> list[Row]:
         return registry.active(self.codebases()).filter(F.col("root").isin(roots)).collect() if roots else []
 
     def runs(self) -> DataFrame:
-        path = self._at("runs")
-        return self.spark.read.schema(schema.RUNS).json(path) if os.path.isdir(path) else self.spark.createDataFrame([], schema.RUNS)
+        path = self.store.at("runs")
+        return self.spark.read.schema(schema.RUNS).json(path) if self.store.exists(path) else self.spark.createDataFrame([], schema.RUNS)
+
+    def _cut_off(self, df: DataFrame, path: str) -> DataFrame:
+        """df as a table of this run: read again, not computed again."""
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     # --- indexing -------------------------------------------------------------
     def index(self, directory: str, *, by_hash: bool = False, sync: bool = False) -> IndexResult:
@@ -105,62 +126,80 @@ class Engine:
             raise NotADirectoryError(f"not a directory: {root}")
         registry.guard(self.codebases(), root, self.embedder.model, self.embedder.dims)
         entry = self._entry(root)
-        old_files, old_chunks = self.files([root]), self.chunks([root])
-        listed = source.listed(self.spark, root, self.config.max_file_kb)
+        old = self._files([entry] if entry else [])
         result, generation = IndexResult(), f"{int(began * 1000):x}-{uuid.uuid4().hex[:8]}"
-        content = source.read(self.spark, root, self.config.max_file_kb)
-        if by_hash:
-            content = tables.changed(content.withColumn("file_hash", F.sha2("content", 256)), old_files, by_hash=True)
-        else:
-            # paths and times decide before anything is read
-            wanted = [r["file_path"] for r in tables.changed(listed, old_files.select("file_path", "last_modified")).select("file_path").collect()]
-            content = source.read_paths(self.spark, listed.filter(F.col("file_path").isin(wanted)) if wanted else listed.limit(0))
-        result.seconds["walk"] = time.time() - began
-        work = self._at("work", generation)
-        cut = chunk.chunked(content.filter("error is null").select("file_path", "rel_path", "last_modified", F.sha2("content", 256).alias("file_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
-        made = embed.embedded(cut, self.embedder, self.config.batch_size, self.config.concurrency)
-        made.write.parquet(f"{work}/chunks")
-        content.filter("error is not null").select(F.col("file_path").alias("file"), "error").write.parquet(f"{work}/errors")
-        made = self.spark.read.parquet(f"{work}/chunks")
-        result.seconds["embed"] = time.time() - began - result.seconds["walk"]
+        work = self.store.at("work", generation)
+        step = began
+
+        def done(name: str) -> None:
+            nonlocal step
+            result.seconds[name], step = time.time() - step, time.time()
+
+        listed = self._cut_off(source.listed(self.spark, root, self.config.max_file_kb), f"{work}/listed")
+        # paths and times decide before anything is read; by_hash reads all, and the contents decide
+        wanted = listed if by_hash else tables.changed(listed, old)
+        content = source.read_paths(self.spark, wanted).withColumn("file_hash", text.content_hash("content"))
+        content = self._cut_off(tables.changed(content, old, by_hash=True) if by_hash else content, f"{work}/content")
+        done("walk")
+        readable = content.filter("error is null").select("file_path", "rel_path", "last_modified", "file_hash", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+        cut = self._cut_off(chunk.chunked(readable), f"{work}/cut")
+        done("chunk")
+        made = self._cut_off(embed.embedded(cut, self.embedder, self.config.batch_size, self.config.concurrency), f"{work}/embedded")
+        done("embed")
         ready = tables.embedded(made).select(
             F.lit(root).alias("codebase"), F.lit(generation).alias("generation"), "file_path", "rel_path", "last_modified", "file_hash", "chunk_index", "start_line", "end_line", "chunk_type", "symbol_name", "content", "language",
             F.lit(self.embedder.model).alias("model"), "embedding", "norm",
         )
-        new_files = ready.groupBy("codebase", "generation", "file_path", "rel_path", "last_modified", "file_hash", "language").count().drop("count").withColumn("indexed_at", F.current_timestamp())
-        new_chunks = ready.select(*(c.split()[0] for c in schema.CHUNKS.split(", ")))
-        files = tables.replaced(old_files.withColumn("generation", F.lit(generation)), new_files.select(*old_files.columns))
-        chunks = old_chunks.withColumn("generation", F.lit(generation)).join(new_files.select("file_path"), "file_path", "left_anti").select(*old_chunks.columns).unionByName(new_chunks)
+        file_columns, chunk_columns = ([c.split()[0] for c in ddl.split(", ")] for ddl in (schema.FILES, schema.CHUNKS))
+        new_files = ready.groupBy("codebase", "generation", "file_path", "rel_path", "last_modified", "file_hash", "language").count().drop("count").withColumns({"indexed_at": F.current_timestamp(), "deleted": F.lit(False)})
         if sync:
-            files, chunks = (t.join(listed.select("file_path"), "file_path", "left_semi").select(*t.columns) for t in (files, chunks))
-        next_entry = Row(root=root, generation=generation)
-        files.write.parquet(self._generation("files", next_entry))
-        chunks.write.parquet(self._generation("chunks", next_entry))
-        errors = made.filter("error is not null").select(F.col("file_path").alias("file"), "error").unionByName(self.spark.read.parquet(f"{work}/errors"))
+            gone = old.join(listed.select("file_path"), "file_path", "left_anti").withColumns({"generation": F.lit(generation), "indexed_at": F.current_timestamp(), "deleted": F.lit(True)})
+            new_files = new_files.select(*file_columns).unionByName(gone.select(*file_columns))
+        new_files = self._cut_off(new_files.select(*file_columns), f"{work}/files")
+        result.files_processed, n_gone = new_files.filter("not deleted").count(), new_files.filter("deleted").count()
+        result.chunks_created = tables.embedded(made).count()
+        result.files_skipped = tables.unchanged(listed, old, content if by_hash else None).count()
+        errors = made.filter("error is not null").select(F.col("file_path").alias("file"), "error").unionByName(content.filter("error is not null").select(F.col("file_path").alias("file"), "error"))
         result.errors = [r.asDict() for r in errors.collect()]
-        result.files_processed, result.chunks_created = new_files.count(), new_chunks.count()
-        result.files_skipped = tables.unchanged(listed, old_files).count()
-        shutil.rmtree(work, ignore_errors=True)
-        self._record(root, generation, result, started)
-        if entry is not None:
-            for t in ("files", "chunks"):
-                shutil.rmtree(self._generation(t, entry), ignore_errors=True)
+        kept = [g for g in (self._generations(entry) if entry else []) if self.store.exists(self._at("files", root, g))]
+        stale: list[str] = []
+        if result.files_processed or n_gone or not kept:
+            new_files.write.parquet(self._at("files", root, generation))
+            ready.select(*chunk_columns).write.parquet(self._at("chunks", root, generation))
+            kept.append(generation)
+            if len(kept) > GENERATIONS:
+                kept, stale = [self._compacted(root, kept)], kept
+        done("db")
         result.seconds["total"] = time.time() - began
+        self._record(root, kept, result, started)
+        for g in stale:
+            self._delete(root, g)
+        self.store.delete(work)
         self.progress(f"indexed {result.files_processed} files, {result.chunks_created} chunks, skipped {result.files_skipped}")
         return result
 
-    def _record(self, root: str, generation: str, result: IndexResult, started: datetime) -> None:
-        entry = Row(root=root, generation=generation)
-        files = self.spark.read.schema(schema.FILES).parquet(self._generation("files", entry)).count()
-        chunks = self.spark.read.schema(schema.CHUNKS).parquet(self._generation("chunks", entry)).count()
+    def _compacted(self, root: str, generations: list[str]) -> str:
+        """The generations written as one."""
+        entry, new = Row(root=root, generation=",".join(generations)), f"{int(time.time() * 1000):x}-{uuid.uuid4().hex[:8]}"
+        for name, df in (("files", self._files([entry])), ("chunks", self._chunks([entry]))):
+            df.withColumn("generation", F.lit(new)).write.parquet(self._at(name, root, new))
+        return new
+
+    def _delete(self, root: str, generation: str) -> None:
+        for t in ("files", "chunks"):
+            self.store.delete(self._at(t, root, generation))
+
+    def _record(self, root: str, generations: list[str], result: IndexResult, started: datetime) -> None:
+        entry = Row(root=root, generation=",".join(generations))
+        files, chunks = self._files([entry]).count(), self._chunks([entry]).count()
         now = datetime.now(timezone.utc)
-        new = self.spark.createDataFrame([(root, generation, self.embedder.model, self.embedder.dims, files, chunks, now, "active", None, None)], schema.CODEBASES)
+        new = self.spark.createDataFrame([(root, entry["generation"], self.embedder.model, self.embedder.dims, files, chunks, now, "active", None, None)], schema.CODEBASES)
         keep = self.codebases().filter((F.col("root") != root) | (F.col("status") == "deprecated"))
         self._save(keep.unionByName(new))
         run = self.spark.createDataFrame([(time.time_ns(), root, started, now, result.files_processed, result.files_skipped, len(result.errors), [(e["file"], e["error"]) for e in result.errors])], schema.RUNS)
-        run.coalesce(1).write.mode("append").json(self._at("runs"))
-        with open(self._at("benchmark.jsonl"), "a", encoding="utf-8") as f:
-            f.write(json.dumps({"directory": root, "time": now.isoformat(), **asdict(result)}) + "\n")
+        run.coalesce(1).write.mode("append").json(self.store.at("runs"))
+        line = json.dumps({"directory": root, "time": now.isoformat(), **asdict(result)})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(self.store.at("benchmark.jsonl"))
 
     # --- search ---------------------------------------------------------------
     def search(self, query: str, limit: object = None, *, codebase: str | None = None, all_: bool = False, area: str | None = None, language: str | None = None, chunk_type: str | None = None, verbose: bool = False) -> DataFrame:
@@ -186,12 +225,13 @@ class Engine:
 
     def save_search(self, query: str, output_path: str, limit: object = None, *, codebase: str | None = None, all_: bool = False, title: str = "", notes: str = "") -> str:
         """Writes a report and returns its path."""
-        hits = self._found(query, checked_limit(limit, SAVE_LIMIT), codebase, all_).collect()  # limit rows
+        hit = text.markdown_hit("file_path", "start_line", "end_line", F.col("similarity"), "symbol_name", "chunk_type", "content")
+        hits = self._found(query, checked_limit(limit, SAVE_LIMIT), codebase, all_).select(hit.alias("hit")).collect()  # limit rows
         path = self.spark.range(1).select(text.markdown_path(F.lit(output_path), F.lit(query))).head()[0]
         meta = {"query": query, "roots": ", ".join(self._roots(codebase, all_)), "model": self.embedder.model, "time": datetime.now(timezone.utc).isoformat(timespec="seconds")}
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
         with open(path, "w", encoding="utf-8") as f:
-            f.write(render(meta, title, notes, [h.asDict() for h in hits]))
+            f.write(render(meta, title, notes, [h["hit"] for h in hits]))
         return path
 
     # --- lifecycle ------------------------------------------------------------
@@ -206,9 +246,9 @@ class Engine:
         found = registry.listed(self.codebases(), all_).withColumns({"matches": registry.matches(self.embedder.model, self.embedder.dims), "reason": registry.mismatch_reason(self.embedder.model, self.embedder.dims)})
         out = []
         for r in found.collect():  # one row per codebase
-            stored = [self._generation(t, r) for t in ("files", "chunks")]
-            size = sum(os.path.getsize(os.path.join(d, f)) for s in stored for d, _, names in os.walk(s) for f in names)
-            out.append(r.asDict() | {"on_disk": os.path.isdir(r["root"]), "stored": os.path.isdir(stored[1]), "bytes": size})
+            stored = [self._at(t, r["root"], g) for t in ("files", "chunks") for g in self._generations(r)]
+            sizes = [self.store.size(p) for p in stored]
+            out.append(r.asDict() | {"on_disk": os.path.isdir(r["root"]), "stored": any(sizes), "bytes": sum(sizes)})
         return out
 
     def info(self, root: str) -> dict:
@@ -229,8 +269,8 @@ class Engine:
         entry = self._entry(os.path.abspath(root))
         if entry is None:
             raise LookupError(f"not indexed: {root}")
-        for t in ("files", "chunks"):
-            shutil.rmtree(self._generation(t, entry), ignore_errors=True)
+        for g in self._generations(entry):
+            self._delete(entry["root"], g)
 
     def rebuild(self, root: str, reembed: bool = False) -> IndexResult:
         """From scratch; reembed first sets aside what another model made."""
@@ -253,8 +293,8 @@ class Engine:
         """Removes all deprecated data and rows."""
         gone = self.codebases().filter("status = 'deprecated'").collect()
         for r in gone:
-            for t in ("files", "chunks"):
-                shutil.rmtree(self._generation(t, r), ignore_errors=True)
+            for g in self._generations(r):
+                self._delete(r["root"], g)
         self._save(registry.purged(self.codebases()))
         return len(gone)
 
@@ -265,10 +305,10 @@ class Engine:
                 self.embedder.ping()
                 known = self.embedder.has_model()
                 out.append({"name": "model server", "status": "ok", "detail": self.embedder.url})
-                out.append({"name": "model", "status": "ok" if known else "fail", "detail": self.embedder.model if known else f"{self.embedder.model} isn't installed"})
+                out.append({"name": "model", "status": "ok" if known else "fail", "detail": self.embedder.model if known else f"the server doesn't have {self.embedder.model}"})
                 if known:
                     n = self.embedder.probe()
-                    out.append({"name": "dimension", "status": "ok" if n == self.embedder.dims else "fail", "detail": f"{n}, configured {self.embedder.dims}"})
+                    out.append({"name": "dimension", "status": "ok" if n == self.embedder.dims else "fail", "detail": f"the model gives {n}, the settings say {self.embedder.dims}"})
             except Exception as e:  # noqa: BLE001
                 out.append({"name": "model server", "status": "fail", "detail": str(e)})
         n = {"deprecated": 0, "mismatch": 0, "missing": 0}
@@ -277,8 +317,8 @@ class Engine:
             state = "deprecated" if x["status"] == "deprecated" else "mismatch" if not x["matches"] else "missing" if not (x["on_disk"] and x["stored"]) else ""
             if state:
                 n[state] += 1
-        detail = f"{len(listed) - n['deprecated']} active, {n['deprecated']} deprecated, {n['mismatch']} model-mismatch, {n['missing']} missing on disk"
-        out.append({"name": "codebase registry", "status": "warn" if n["mismatch"] or n["missing"] else "ok", "detail": detail})
+        detail = f"in use: {len(listed) - n['deprecated']}, set aside: {n['deprecated']}, with vectors of another model: {n['mismatch']}, without folder or data: {n['missing']}"
+        out.append({"name": "registry", "status": "warn" if n["mismatch"] or n["missing"] else "ok", "detail": detail})
         return out
 
 

@@ -1,27 +1,14 @@
-"""The Markdown report of a saved search, on the rows that it shows."""
+"""The Markdown report of a saved search."""
 
 from __future__ import annotations
 
-from quern.functions.text import FENCES
+from collections.abc import Sequence
 
 
-def fence(path: str) -> str:
-    name = path.rsplit("/", 1)[-1]
-    return FENCES.get(name.rsplit(".", 1)[-1].lower(), "") if "." in name else ""
-
-
-def render(meta: dict, title: str, notes: str, hits: list[dict]) -> str:
-    """A title, the facts of the search, an optional summary, and a section per hit with its whole snippet."""
-    facts = [("Query", meta["query"]), ("Codebase root(s)", meta["roots"]), ("Results", len(hits)), ("Model", meta["model"]), ("Generated", meta["time"])]
-    parts = [f"# {title or meta['query']}\n\n", *(f"- **{name}:** {value}\n" for name, value in facts)]
-    if notes.strip():
-        parts.append("\n## Summary\n\n" + notes.rstrip("\n") + "\n")
-    parts.append("\n## Results\n")
-    if not hits:
-        parts.append("\nNo matches found.\n")
-    for h in hits:
-        lines = f"{h['start_line']}-{h['end_line']}"
-        parts.append(f"\n### [{h['file_path']}:{lines}]({h['file_path']}#L{h['start_line']}-L{h['end_line']})\n\n")
-        parts.append(f"Score: {h['similarity']:.4f} · Symbol: {h['symbol_name'] or '—'} · Type: {h['chunk_type']}\n\n")
-        parts.append(f"```{fence(h['file_path'])}\n" + h["content"].rstrip("\n") + "\n```\n")
-    return "".join(parts)
+def render(meta: dict, title: str, notes: str, hits: Sequence[str]) -> str:
+    """A title, the facts of the search, an optional summary, and the hits as markdown_hit gives them."""
+    facts = {"Query": meta["query"], "Codebase root(s)": meta["roots"], "Results": len(hits), "Model": meta["model"], "Generated": meta["time"]}
+    head = [f"# {title or meta['query']}", "", *(f"- **{k}:** {v}" for k, v in facts.items())]
+    summary = ["", "## Summary", "", notes.rstrip("\n")] if notes.strip() else []
+    body = "".join(hits) or "\nNo matches found.\n"
+    return "\n".join([*head, *summary, "", "## Results", ""]) + body

@@ -86,6 +86,15 @@ def is_binary(path: Column | str) -> Column:
     return extension(path).isin(BINARY_EXTENSIONS)
 
 
+def within_size(content: Column | str, most_kb: int) -> Column:
+    """Not larger, in bytes; the limit itself is within."""
+    return F.octet_length(_col(content)) <= most_kb * 1024
+
+
+def content_hash(content: Column | str) -> Column:
+    return F.sha2(_col(content), 256)
+
+
 def is_blank(text: Column | str) -> Column:
     """No character but white space, in the Unicode sense."""
     return _col(text).rlike("(?U)^\\s*$")

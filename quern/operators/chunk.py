@@ -78,7 +78,10 @@ _RULES: dict[str, list[tuple[str, str]]] = {
     "ruby": [(r"def\s+(?:self\.)?(?P<name>[\w?!=]+)", "function"), (r"(?:class|module)\s+(?P<name>[\w:]+)", "class")],
 }
 _RULES["typescript"] = [*_RULES["javascript"], (rf"{_MODS}interface\s+(?P<name>{_W})", "class"), (rf"{_MODS}type\s+(?P<name>{_W})", "class"), (rf"{_MODS}enum\s+(?P<name>{_W})", "class")]
-_RULES["cpp"] = [(r"class\s+(?P<name>\w+)", "class"), *_RULES["c"]]
+_RULES["cpp"] = [
+    (r"(?:template\s*<[^{;]*>\s*)?class\s+(?P<name>\w+)", "class"), *_RULES["c"],
+    (r"(?!(?:if|for|while|switch|return|else|do|using|namespace)\b)[A-Za-z_][\w\s*&:<>,~]*?[\s*&:](?P<name>~?\w+)\s*\([^;]*$", "function"),
+]
 _METHOD = {
     "javascript": rf"{_MODS}(?:get\s+|set\s+|\*\s*)?(?P<name>{_W})\s*\([^)]*\)[^;=]*\{{", "java": rf"{_MODS}(?:<[^>]*>\s*)?(?:[\w<>\[\],.? ]+\s+)?(?P<name>{_W})\s*\([^)]*\)[^;=]*\{{",
     "rust": r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(?P<name>\w+)", "php": rf"{_MODS}function\s+&?(?P<name>\w+)", "swift": rf"{_MODS}(?:func\s+(?P<name>\w+)|(?P<init>init)\b)",

@@ -9,6 +9,7 @@ the tasks kept: tasks * queries * k rows, whatever the number of vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from quern.functions import vector
 
 #: Ties go to the least path, line and index.
 TIES = ("file_path", "start_line", "chunk_index")
+#: Queries in one pass over the rows; rows that a task compares with them at once.
+QUERY_ROWS, TILE_ROWS = 2_048, 1_024
 
 
 def scored(chunks: DataFrame, query: Sequence[float], embedding: str = "embedding", norm: str | None = None) -> DataFrame:
@@ -65,7 +68,7 @@ def without_deprecated(chunks: DataFrame, codebases: DataFrame, codebase: str =
 
 
 def nearest_many(chunks: DataFrame, queries: np.ndarray, k: int, id_col: str, embedding: str = "embedding") -> DataFrame:
-    """(query, rank, id, similarity) of the k nearest rows to each of a bounded number of query vectors."""
+    """(query, rank, id, similarity) of the k nearest rows to each of a bounded number of query vectors; query: its place in the array."""
     q = np.asarray(queries, np.float64)
     norms = np.linalg.norm(q, axis=1, keepdims=True)
     unit = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
@@ -76,17 +79,17 @@ def nearest_many(chunks: DataFrame, queries: np.ndarray, k: int, id_col: str, em
             column = batch.column(embedding)
             ok = np.array([x is not None and x == q.shape[1] for x in column.value_lengths().to_pylist()], bool)
             part = column.filter(pa.array(ok))
-            if not len(part):
-                continue
             x = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
             own = np.asarray(batch.column(id_col).filter(pa.array(ok)))
-            n = np.linalg.norm(x, axis=1)
-            s = unit @ np.divide(x.T, n, out=np.zeros_like(x.T), where=n > 0)
-            s[:, n == 0] = -np.inf
-            sims = np.concatenate([sims, s], axis=1)
-            ids = np.concatenate([ids, np.broadcast_to(own, s.shape)], axis=1)
-            best = np.lexsort((ids, -sims), axis=1)[:, :k]
-            sims, ids = np.take_along_axis(sims, best, 1), np.take_along_axis(ids, best, 1)
+            for a in range(0, len(x), TILE_ROWS):
+                tile, names = x[a : a + TILE_ROWS], own[a : a + TILE_ROWS]
+                n = np.linalg.norm(tile, axis=1)
+                s = unit @ np.divide(tile.T, n, out=np.zeros_like(tile.T), where=n > 0)
+                s[:, n == 0] = -np.inf
+                sims = np.concatenate([sims, s], axis=1)
+                ids = np.concatenate([ids, np.broadcast_to(names, s.shape)], axis=1)
+                best = np.lexsort((ids, -sims), axis=1)[:, :k]
+                sims, ids = np.take_along_axis(sims, best, 1), np.take_along_axis(ids, best, 1)
         known = np.isfinite(sims) & (norms > 0)
         yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(known)[0]), pa.array(ids[known]), pa.array(sims[known])], names=["query", "id", "similarity"])
 
@@ -95,18 +98,22 @@ def nearest_many(chunks: DataFrame, queries: np.ndarray, k: int, id_col: str, em
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", "id", "similarity")
 
 
-def approximate(chunks: DataFrame, query: Sequence[float], k: int, id_col: str, embedding: str = "embedding", width: float = 1.0, tables: int = 6) -> DataFrame:
-    """The k nearest by locality-sensitive hashing on unit vectors, where the Euclidean order is the cosine order. May miss some."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    length = vector.norm(F.col(embedding))
-    unit = chunks.filter(length > 0).withColumn("__unit", array_to_vector(F.transform(embedding, lambda x: x.cast("double") / length)))
-    q = np.asarray(query, np.float64)
-    model = BucketedRandomProjectionLSH(inputCol="__unit", outputCol="__buckets", bucketLength=width, numHashTables=tables, seed=1).fit(unit)
-    found = model.approxNearestNeighbors(unit, Vectors.dense(q / np.linalg.norm(q)), k, distCol="__distance")
-    return found.withColumn("similarity", 1 - F.col("__distance") ** 2 / 2).drop("__unit", "__buckets", "__distance").orderBy(F.col("similarity").desc(), id_col)
+def nearest_of_each(chunks: DataFrame, queries: DataFrame, k: int, id_col: str, embedding: str = "embedding", query_col: str | None = None) -> DataFrame:
+    """(query, rank, id, similarity) of the k nearest rows to each row of queries, exact; query: its id (query_col, or id_col).
+
+    Queries are taken in blocks of about QUERY_ROWS: one pass over the rows per block, whose queries go along with its tasks.
+    """
+    named = queries.select(F.col(query_col or id_col).cast("long").alias("query"), F.col(embedding).alias("v")).filter("v is not null")
+    blocks = max(1, -(-named.count() // QUERY_ROWS))
+    out = []
+    for b in range(blocks):
+        part = named.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).orderBy("query").toArrow()  # about QUERY_ROWS rows
+        width = max((len(v) for v in part.column("v").to_pylist()), default=1)
+        vectors = [v if len(v) == width else [0.0] * width for v in part.column("v").to_pylist()]
+        names = chunks.sparkSession.createDataFrame(list(enumerate(part.column("query").to_pylist())), "at long, query long")
+        found = nearest_many(chunks, np.array(vectors, np.float64).reshape(len(vectors), -1), k, id_col, embedding).withColumnRenamed("query", "at")
+        out.append(found.join(F.broadcast(names), "at").select("query", "rank", "id", "similarity"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def shaped(hits: DataFrame, verbose: bool = False) -> DataFrame:

@@ -41,8 +41,8 @@ def matches(model: str, dims: int) -> Column:
 
 def mismatch_reason(model: str, dims: int) -> Column:
     """Why it isn't; "" if it is."""
-    other = F.concat(F.lit('indexed with model "'), F.col("model"), F.lit(f'" but configured model is "{model}"'))
-    size = F.concat(F.lit("indexed at "), F.col("dims").cast("string"), F.lit(f" dims but configured dimension is {dims}"))
+    other = F.concat(F.lit("its vectors are of the model "), F.col("model"), F.lit(f", searches use {model}"))
+    size = F.concat(F.lit("its vectors have "), F.col("dims").cast("string"), F.lit(f" dimensions, searches use {dims}"))
     return F.when(~F.coalesce("model", F.lit("")).isin("", model), other).when(~F.coalesce("dims", F.lit(0)).isin(0, dims), size).otherwise("")
 
 

@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.store import shared_dir
+
 
 def changed(candidates: DataFrame, files: DataFrame, by_hash: bool = False) -> DataFrame:
     """Candidate files that aren't indexed with the same time of change (or content)."""
-    return candidates.join(files, ["file_path", "file_hash" if by_hash else "last_modified"], "left_anti")
+    key = ["file_path", "file_hash" if by_hash else "last_modified"]
+    return candidates.join(files.select(*key), key, "left_anti").select(*candidates.columns)
+
+
+def unchanged(candidates: DataFrame, files: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """Candidate files that are indexed with the same time of change, or (where changed is given) that aren't among the changed."""
+    if changed is not None:
+        return candidates.join(changed.select("file_path"), "file_path", "left_anti")
+    key = ["file_path", "last_modified"]
+    return candidates.join(files.select(*key), key, "left_semi")
 
 
-def unchanged(candidates: DataFrame, files: DataFrame, by_hash: bool = False) -> DataFrame:
-    return candidates.join(files.select("file_path", "file_hash" if by_hash else "last_modified"), ["file_path", "file_hash" if by_hash else "last_modified"], "left_semi")
+def latest(files: DataFrame, several: object = True) -> DataFrame:
+    """Of each file of a codebase the row of its last generation, unless that says it is gone. several: false where each file has one row."""
+    if several:
+        key, rest = ["codebase", "file_path"], [c for c in files.columns if c not in ("codebase", "file_path", "generation")]
+        top = files.groupBy(*key).agg(F.max(F.struct("generation", *rest)).alias("x"))
+        files = top.select(*(F.col(c) if c in key else F.col(f"x.{c}").alias(c) for c in files.columns))
+    return files.filter(~F.coalesce("deleted", F.lit(False)))
 
 
 def embedded(chunks: DataFrame) -> DataFrame:
@@ -45,8 +63,11 @@ def batches(texts: DataFrame, size: int, order: str) -> DataFrame:
     if size < 1:
         raise ValueError("batch size must be at least 1")
     # position = rows of earlier ranges + position in the own range: no single partition sees all rows
+    # (written once: a range partitioning samples its input, and a second evaluation may cut elsewhere)
     ranged = texts.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    from pyspark.sql import Window
+    path = f"{shared_dir(texts.sparkSession)}/quern-batches-{uuid.uuid4().hex}"
+    ranged.write.parquet(path)
+    ranged = texts.sparkSession.read.schema(ranged.schema).parquet(path)
 
     own = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
     counts = own.groupBy("__part").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-FILES = "codebase string, generation string, file_path string, rel_path string, last_modified double, file_hash string, language string, indexed_at timestamp"
+FILES = "codebase string, generation string, file_path string, rel_path string, last_modified double, file_hash string, language string, indexed_at timestamp, deleted boolean"
 CHUNKS = (
     "codebase string, generation string, file_path string, chunk_index int, start_line int, end_line int, chunk_type string, symbol_name string, "
     "content string, language string, model string, embedding array<float>, norm double"

@@ -1,8 +1,9 @@
 """A directory tree as a Spark data source.
 
-The driver lists names, sizes and times; partitions carry paths; executors read
-the contents, and only of the files that are asked for: filters on last_modified
-or path are applied to the listing, before anything is read. The tree must be on
+Names, sizes and times are listed folder by folder: the driver goes down until there
+are some folders to deal out, tasks walk what lies below them. Partitions of the data source
+carry paths; executors read the contents, and only of the files that are asked for: filters on
+last_modified or path are applied to the listing, before anything is read. The tree must be on
 a file system that the executors see. `binaryFile` isn't used, as it leaves out
 names that start with an underscore or a dot.
 """
@@ -12,7 +13,9 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, In, InputPartition, LessThanOrEqual, StringStartsWith
 
 from quern.functions.text import BINARY_EXTENSIONS
@@ -22,26 +25,49 @@ SCHEMA = "codebase string, file_path string, rel_path string, last_modified doub
 _FILTERS = {EqualTo: lambda v, x: v == x, In: lambda v, x: v in x, GreaterThan: lambda v, x: v > x, LessThanOrEqual: lambda v, x: v <= x, StringStartsWith: lambda v, x: v.startswith(x)}
 
 
-def listing(root: str, max_kb: int) -> Iterator[dict]:
-    """Files of a tree in the order of their names: not ignored, not binary, not too large. Folders that can't be read are passed over."""
+Folder = tuple[str, ignore.IgnoreSpec]
+
+
+def folder(root: str, rel: str, spec: ignore.IgnoreSpec, max_kb: int) -> tuple[list[dict], list[Folder]]:
+    """(files, folders below with their rules) of one folder: not ignored, not binary, not too large. A folder that can't be read has none."""
+    path = os.path.join(root, rel) if rel else root
+    try:
+        entries = sorted(os.scandir(path), key=lambda e: e.name)
+    except OSError:
+        return [], []
+    spec = spec.within(path, rel, {e.name for e in entries})
+    files, below = [], []
+    for e in entries:
+        name = f"{rel}/{e.name}" if rel else e.name
+        try:
+            if e.is_dir():
+                if not e.is_symlink() and not spec.ignores(name, True):
+                    below.append((name, spec))
+            elif e.is_file() and not spec.ignores(name) and os.path.splitext(e.name)[1].lower() not in BINARY_EXTENSIONS and (stat := e.stat()).st_size <= max_kb * 1024:
+                files.append({"codebase": root, "file_path": e.path, "rel_path": name, "last_modified": float(int(stat.st_mtime)), "size": stat.st_size})
+        except OSError:
+            continue
+    return files, below
+
+
+def _walk(root: str, todo: list[Folder], max_kb: int) -> Iterator[dict]:
+    while todo:
+        files, below = folder(root, *todo.pop(), max_kb)
+        yield from files
+        todo += reversed(below)
+
+
+def _checked(root: str) -> str:
     root = os.path.abspath(root)
     if not os.path.isdir(root):
         raise NotADirectoryError(f"not a directory: {root}")
-    spec = ignore.build(root)
-    for folder, names, found in os.walk(root):
-        rel = os.path.relpath(folder, root).replace(os.sep, "/")
-        at = lambda n, rel=rel: n if rel == "." else f"{rel}/{n}"
-        names[:] = sorted(n for n in names if not spec.ignores(at(n), True))
-        for name in sorted(found):
-            path = os.path.join(folder, name)
-            if spec.ignores(at(name)) or os.path.splitext(name)[1].lower() in BINARY_EXTENSIONS:
-                continue
-            try:
-                stat = os.stat(path)
-            except OSError:
-                continue
-            if os.path.isfile(path) and stat.st_size <= max_kb * 1024:
-                yield {"codebase": root, "file_path": path, "rel_path": at(name), "last_modified": float(int(stat.st_mtime)), "size": stat.st_size}
+    return root
+
+
+def listing(root: str, max_kb: int) -> Iterator[dict]:
+    """Files of a tree."""
+    root = _checked(root)
+    yield from _walk(root, [("", ignore.IgnoreSpec())], max_kb)
 
 
 class _Part(InputPartition):
@@ -103,15 +129,32 @@ def read(spark: SparkSession, root: str, max_kb: int = 512, partitions: int = 8)
     return spark.read.format("codebase").option("path", root).option("max_kb", max_kb).option("partitions", partitions).load()
 
 
-def listed(spark: SparkSession, root: str, max_kb: int = 512) -> DataFrame:
-    """The listing alone: nothing is read."""
-    rows = [(x["codebase"], x["file_path"], x["rel_path"], x["last_modified"], x["size"]) for x in listing(root, max_kb)]
-    return spark.createDataFrame(rows, "codebase string, file_path string, rel_path string, last_modified double, size long")
+LISTED = "codebase string, file_path string, rel_path string, last_modified double, size long"
 
 
-def _contents(batches):  # noqa: ANN001, ANN202
-    import pyarrow as pa
+def listed(spark: SparkSession, root: str, max_kb: int = 512, tasks: int = 32) -> DataFrame:
+    """The listing alone: nothing is read. Each task walks some of the first folders, as many as tasks if there are so many."""
+    root, names = _checked(root), [c.split()[0] for c in LISTED.split(", ")]
+    here, todo = [], [("", ignore.IgnoreSpec())]
+    while todo and len(todo) < tasks:
+        files, below = folder(root, *todo.pop(0), max_kb)
+        here += files
+        todo += below
+    out = spark.createDataFrame([tuple(x[n] for n in names) for x in here], LISTED)
+    if not todo:
+        return out
 
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for k in batch.column("folder").to_pylist():
+                files = list(_walk(root, [todo[k]], max_kb))
+                yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in files], pa.schema([pa.field(n, t) for n, t in zip(names, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)]))
+
+    dealt = spark.range(0, len(todo), 1, len(todo)).select(F.col("id").alias("folder"))
+    return out.unionByName(dealt.mapInArrow(run, LISTED))
+
+
+def _contents(batches):  # noqa: ANN001, ANN202
     for batch in batches:
         found, errors = [], []
         for path in batch.column("file_path").to_pylist():

@@ -83,19 +83,28 @@ class IgnoreSpec:
         return any(self._decided("/".join(parts[:k]), True) for k in range(1, len(parts))) or self._decided("/".join(parts), is_dir)
 
 
-def build(root: str) -> IgnoreSpec:
-    """The rules of all ignore files of a tree; those of a folder hold below it and come after its parents'."""
-    spec = IgnoreSpec()
-    for folder, names, files in os.walk(root):
-        names.sort()
-        rel = os.path.relpath(folder, root).replace(os.sep, "/")
-        rel = "" if rel == "." else rel
+    def within(self, path: str, folder: str, names: Iterable[str]) -> IgnoreSpec:
+        """The rules that hold in a folder (relative to the root) at a path with those names: its own ignore files' come last."""
+        new = []
         for name in IGNORE_FILES:
-            if name in files:
+            if name in names:
                 try:
-                    with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
-                        spec.rules += [Rule(p, rel) for p in parse(f.read())]
+                    with open(os.path.join(path, name), encoding="utf-8", errors="replace") as f:
+                        new += [Rule(p, folder) for p in parse(f.read())]
                 except OSError:
                     continue
-        names[:] = [n for n in names if n != ".git" and not spec.ignores(f"{rel}/{n}".lstrip("/"), True)]
+        if not new:
+            return self
+        out = IgnoreSpec()
+        out.rules = [*self.rules, *new]
+        return out
+
+
+def build(root: str) -> IgnoreSpec:
+    """The rules of all ignore files of a tree in one; those of a folder hold below it and come after its parents'."""
+    spec = IgnoreSpec()
+    for path, names, files in os.walk(root):
+        rel = "" if path == root else os.path.relpath(path, root).replace(os.sep, "/")
+        spec = spec.within(path, rel, files)
+        names[:] = sorted(n for n in names if not spec.ignores(f"{rel}/{n}" if rel else n, True))
     return spec

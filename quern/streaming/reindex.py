@@ -1,46 +1,41 @@
 """Extension: chunks and vectors of files as they arrive, by Structured Streaming.
 
 The stream carries (file_path, last_modified, content). Each micro-batch keeps the
-latest state of every path and replaces its chunks in a new snapshot; the pointer
-moves last, and a batch that is run again finds its own snapshot and skips.
+latest state of every path and replaces its chunks in a new snapshot; Spark's mark of
+success comes last, and a batch that is run again finds its own snapshot and skips.
 """
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.operators import chunk, embed, tables
+from quern.sources.store import Store
 
 
 class Snapshots:
-    """A table as numbered snapshots in a folder, with a pointer to the current one."""
+    """A table as numbered snapshots in a folder; the last one that Spark has marked as written counts."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        os.makedirs(path, exist_ok=True)
+        self.spark, self.store = spark, Store(spark, path)
 
     def current(self) -> int:
-        try:
-            with open(os.path.join(self.path, "current.json"), encoding="utf-8") as f:
-                return json.load(f)["id"]
-        except FileNotFoundError:
-            return -1
+        found = sorted((int(n.removeprefix("snapshot-")) for n in self.store.names(self.store.root) if n.startswith("snapshot-")), reverse=True)
+        return next((n for n in found if self.store.exists(self.store.at(f"snapshot-{n}", "_SUCCESS"))), -1)
 
     def read(self) -> DataFrame | None:
         n = self.current()
-        return None if n < 0 else self.spark.read.parquet(os.path.join(self.path, f"snapshot-{n}"))
+        return None if n < 0 else self.spark.read.parquet(self.store.at(f"snapshot-{n}"))
 
     def write(self, df: DataFrame, n: int) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(self.path, f"snapshot-{n}"))
-        name = os.path.join(self.path, "current.json")
-        with open(f"{name}.tmp", "w", encoding="utf-8") as f:
-            json.dump({"id": n}, f)
-        os.replace(f"{name}.tmp", name)
+        """The snapshot before the last goes, so that readers of the last can end."""
+        last = self.current()
+        df.write.mode("overwrite").parquet(self.store.at(f"snapshot-{n}"))
+        for name in self.store.names(self.store.root):
+            if name.startswith("snapshot-") and int(name.removeprefix("snapshot-")) < last:
+                self.store.delete(self.store.at(name))
 
 
 def latest(files: DataFrame) -> DataFrame:

@@ -67,6 +67,7 @@ def test_index_search_and_increments(engine, tree):
     assert engine.files([str(tree)]).count() == 3
     engine.index(str(tree), sync=True)
     assert engine.files([str(tree)]).count() == 2
+    assert {r["file_path"] for r in engine.chunks([str(tree)]).select("file_path").collect()} == {r["file_path"] for r in engine.files([str(tree)]).collect()}
     status = engine.status()
     assert status["files"] == 2 and status["last_run"]["errors"] == 0 and status["last_run"]["error_details"] == []
 
@@ -89,15 +90,90 @@ def test_report_and_lifecycle(engine, tree, tmp_path, spark):
     assert other.purge() == 1 and len(other.list(all_=True)) == 1
     os.rename(tree, f"{tree}-moved")
     assert [x["status"] for x in other.prune()] == ["deprecated"]
-    assert other.list() == [] and "1 deprecated" in other.doctor()[-1]["detail"]
+    assert other.list() == [] and "set aside: 1," in other.doctor()[-1]["detail"]
     with pytest.raises(LookupError):
         other.deprecate("/nowhere")
-    with open(os.path.join(engine.config.warehouse, "registry.json"), "w") as f:
+    folder = os.path.join(engine.config.warehouse, "registry")
+    last = max(n for n in os.listdir(folder) if n.startswith("v"))
+    with open(os.path.join(folder, last), "w") as f:
         f.write("{broken")
     with pytest.raises(ValueError):
         engine.list()
 
 
+def test_generations(engine, tree, monkeypatch):
+    """A run that finds nothing changed writes nothing; one that finds a file changed writes that file; many are compacted."""
+    from quern import engine as module
+
+    monkeypatch.setattr(module, "GENERATIONS", 3)
+    root = str(tree)
+    engine.index(root)
+    entry = lambda: engine._entry(root)
+    first = entry()["generation"]
+    again = engine.index(root)
+    assert entry()["generation"] == first and again.seconds.keys() == {"walk", "chunk", "embed", "db", "total"}
+    for k in range(4):
+        (tree / "main.go").write_text(f"package main\n\nfunc Step{k}() {{\n}}\n")
+        os.utime(tree / "main.go", (time.time() + 10 * (k + 1),) * 2)
+        assert engine.index(root).files_processed == 1
+        new = entry()["generation"].split(",")
+        assert len(new) <= 3 and (len(new) == 1 or engine.spark.read.parquet(engine._at("files", root, new[-1])).count() == 1)
+        symbols = {r["symbol_name"] for r in engine.chunks([root]).collect()}
+        assert f"Step{k}" in symbols and f"Step{k - 1}" not in symbols and "banana_split" in symbols and engine.files([root]).count() == 3
+    assert len(os.listdir(os.path.join(engine.config.warehouse, "files", f"codebase={module.text_name(root)}"))) == len(entry()["generation"].split(","))
+    (tree / "pkg/__init__.py").write_text("def cherry():\n    pass\n")
+    os.utime(tree / "pkg/__init__.py", (1, 1))
+    assert engine.index(root, by_hash=True).files_processed == 1 and engine.index(root, by_hash=True).files_skipped == 3
+    assert "cherry" in {r["symbol_name"] for r in engine.chunks([root]).collect()}
+    assert not os.listdir(os.path.join(engine.config.warehouse, "work"))
+
+
+def test_two_runs_at_once_do_not_overwrite(engine, tree):
+    engine.index(str(tree))
+    n = engine._version()
+    engine.store.write_new(engine.store.at("registry", f"v{n + 1:08d}.json"), "[]")
+    with pytest.raises(FileExistsError):
+        engine.store.write_new(engine.store.at("registry", f"v{n + 1:08d}.json"), "[]")
+    assert engine.list() == []
+
+
+def test_listing_is_dealt_out(spark, tree):
+    """Folder by folder in tasks, with the rules of every folder on the way, or all on the driver: the same files."""
+    for a in "abc":
+        for b in "xyz":
+            (tree / a / b / "deep").mkdir(parents=True)
+            (tree / a / b / "deep/f.txt").write_text("1")
+            (tree / a / b / "deep/g.log").write_text("1")
+        (tree / a / ".gitignore").write_text("*.log\n" if a != "c" else "!deep/g.log\ny/\n")
+    (tree / "loop").symlink_to(tree)
+    names = lambda df: sorted(r["rel_path"] for r in df.collect())
+    want = sorted(x["rel_path"] for x in codebase.listing(str(tree), 2))
+    assert names(codebase.listed(spark, str(tree), 2, tasks=1)) == names(codebase.listed(spark, str(tree), 2, tasks=5)) == want
+    assert "a/x/deep/f.txt" in want and "c/x/deep/g.log" in want and not {"a/x/deep/g.log", "c/y/deep/f.txt", "loop/main.go"} & set(want)
+
+
+def test_serve(engine, tree, tmp_path):
+    from quern.serve import serve
+
+    ask = lambda i, method, **params: json.dumps({"jsonrpc": "2.0", "id": i, "method": method, "params": params})
+    tool = lambda i, name, **a: ask(i, "tools/call", name=name, arguments=a)
+    lines = [
+        ask(1, "initialize"), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), ask(2, "tools/list"), tool(3, "index_codebase", directory=str(tree)), tool(4, "search_code", query="banana split", limit=2.0),
+        tool(5, "save_search_markdown", query="banana", output_path=str(tmp_path / "r.md")), tool(6, "index_status"), tool(7, "search_code", limit=3), tool(8, "nothing"), ask(9, "odd"), "not json", "[]", ask(10, "ping"),
+    ]
+    out = io.StringIO()
+    serve(engine, io.StringIO("\n".join(lines) + "\n\n"), out)
+    said = [json.loads(x) for x in out.getvalue().splitlines()]
+    by = {x["id"]: x for x in said if x.get("id") is not None}
+    assert sorted(by) == list(range(1, 11)) and any(x.get("method") == "notifications/message" for x in said)
+    assert {t["name"] for t in by[2]["result"]["tools"]} == {"index_codebase", "search_code", "save_search_markdown", "index_status"}
+    text = {i: by[i]["result"]["content"][0]["text"] for i in range(3, 9)}
+    assert text[3].startswith("3 files") and json.loads(text[4])[0]["symbol"] == "banana_split" and len(json.loads(text[4])) == 2
+    assert (tmp_path / "r.md").read_text().startswith("# banana\n") and json.loads(text[6])["files"] == 3
+    assert [by[i]["result"]["isError"] for i in range(3, 9)] == [False] * 4 + [True] * 2
+    assert by[9]["error"]["code"] == -32601 and [x["error"]["code"] for x in said if x.get("id", 0) is None] == [-32700, -32600] and by[10]["result"] == {}
+
+
 def test_a_failed_batch_is_tried_text_by_text(spark):
     class Flaky:
         model, dims = "flaky", 4
@@ -137,6 +213,48 @@ def test_knn(spark):
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
 
 
+def test_many_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    x[7], x[9] = 0, x[8]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [1.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(knn, "QUERY_ROWS", 4)
+    got = {}
+    for r in knn.nearest_of_each(df, df.filter("id % 10 in (0, 7)"), 5, "id").collect():
+        got.setdefault(r["query"], {})[r["rank"]] = r["id"]
+    y = x.astype(float)
+    norms = np.linalg.norm(y, axis=1)
+    y = np.divide(y, norms[:, None], out=np.zeros_like(y), where=norms[:, None] > 0)
+    want = {q: [i for i in np.lexsort((np.arange(300), -(y @ y[q]))) if norms[i] > 0][:5] for q in range(300) if q % 10 in (0, 7) and norms[q] > 0}
+    assert {q: [v[k] for k in sorted(v)] for q, v in got.items()} == want
+
+
+def test_stored_index(spark, tmp_path, monkeypatch):
+    """Every row is indexed; recall of the ten nearest on ids divisible by 100 is 0.9 or more, and all cells together are exact."""
+    from quern.operators import vector_index as vi
+
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(30, 24))
+    clustered = middle[rng.integers(0, 30, 3000)] + 0.4 * rng.normal(size=(3000, 24))
+    for name, x in (("clusters", clustered), ("random", rng.normal(size=(3000, 24)))):
+        rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))] + [(3000, None), (3001, [0.0] * 24)]
+        df = spark.createDataFrame(rows, "id long, embedding array<float>")
+        monkeypatch.setattr(vi, "PART_ROWS", 40)  # large cells in several parts
+        index = vi.build(df, str(tmp_path / name), "id", sample=1500)
+        assert spark.read.parquet(str(tmp_path / name / "rows")).count() == 3000
+        asked = df.filter("id % 100 = 0")
+        exact = {(r["query"], r["id"]) for r in knn.nearest_of_each(df, asked, 10, "id").collect()}
+        again = vi.VectorIndex(spark, str(tmp_path / name))
+        assert again.probes == index.probes < len(index.centroids)
+        found = {(r["query"], r["id"]) for r in again.search(asked, 10, "id").collect()}
+        assert len(found & exact) / len(exact) >= 0.9 and len(exact) == 300
+        assert {(r["query"], r["id"]) for r in again.search(asked, 10, "id", probes=10**6).collect()} == exact
+    assert vi.build(df.limit(0), str(tmp_path / "none"), "id").search(asked, 3, "id").count() == 0
+    with pytest.raises(ValueError):
+        again.search(asked, 0, "id")
+
+
 def test_replaced_keeps_what_failed(spark):
     old = spark.createDataFrame([("a", 0, "old"), ("a", 1, "old2"), ("b", 0, "b")], "file_path string, i int, v string")
     new = spark.createDataFrame([("a", 0, "new")], old.schema)

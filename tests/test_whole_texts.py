@@ -18,13 +18,13 @@ def test_whole_texts_against_brute_force(spark, tmp_path):
     spark.createDataFrame([(i, [1.0, 0.1 * i], i) for i in range(10)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     run = lambda name: [tuple(r) for r in catalog.QUERIES[name](spark, d).collect()]
     cut = lambda t, n: t.encode()[:n].decode("utf-8", "replace")
-    assert dict(run("truncate_bytes_whole")) == {i: hashlib.md5(cut(t, 1000).encode()).hexdigest() for i, t in enumerate(TEXTS)}
-    assert dict(run("slugify_whole")) == {i: slug(t) for i, t in enumerate(TEXTS)}
-    assert dict(run("markdown_path_whole")) == {i: f"/notes/{i}.MD" if i % 3 == 0 else f"/notes/{slug(t)}.md" for i, t in enumerate(TEXTS)}
+    assert dict(run("truncate_bytes")) == {i: hashlib.md5(cut(t, 1000).encode()).hexdigest() for i, t in enumerate(TEXTS)}
+    assert dict(run("slugify")) == {i: slug(t) for i, t in enumerate(TEXTS)}
+    assert dict(run("markdown_path")) == {i: f"/notes/{i}.MD" if i % 3 == 0 else f"/notes/{slug(t)}.md" for i, t in enumerate(TEXTS)}
     names = {}
     for i, t in enumerate(TEXTS):
         last = re.sub("[^a-zA-Z0-9._-]+", "-", f"/a b/{t}".rsplit("/", 1)[-1])
         names[i] = f"{'codebase' if last in ('', '-') else last}-{hashlib.sha256(f'/a b/{t}'.encode()).hexdigest()[:8]}"
-    assert {i: n for i, n, _ in run("storage_name_whole")} == names
-    got = {int(re.search(r"/(\d+)[^/]*$", f)[1]): n for f, n in run("knn_verbose_whole")}
+    assert {i: n for i, n, _ in run("storage_name")} == names
+    got = {int(re.search(r"/(\d+)[^/]*$", f)[1]): n for f, n, _ in run("knn_verbose")}
     assert got == {i: len(cut(t, 500).encode()) for i, t in enumerate(TEXTS[:10])}
