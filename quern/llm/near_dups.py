@@ -151,17 +151,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a hub's set and a member's: their sizes and the shingles that one of them alone has."""
+    """Of members, which follow their hub (whose b is null): the sizes of both sets and the shingles that one of them alone has."""
+    hub = np.zeros(0, np.uint64)
     for batch in batches:
-        for piece in b.pieces(batch, "set_b"):
-            sizes, diffs = [], []
-            for x, y in zip(piece.column("set_a"), piece.column("set_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                sizes.append((len(x), len(y)))
-                diffs.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in diffs])]).astype(np.int32), np.concatenate(diffs))
-            sizes = np.array(sizes, np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(sizes[:, 0]), pa.array(sizes[:, 1]), lists], names=["a", "b", "size_a", "size", "diff"])
+        for piece in b.pieces(batch, "set"):
+            at, sizes, diffs = [], [], []
+            for i, (key, value) in enumerate(zip(piece.column("b"), piece.column("set"), strict=True)):
+                own = np.frombuffer(value.as_buffer(), np.uint64)
+                if not key.is_valid:
+                    hub = own.copy()
+                    continue
+                at.append(i)
+                sizes.append((len(hub), len(own)))
+                diffs.append(np.setxor1d(hub, own, assume_unique=True).view(np.int64))
+            if at:
+                members, sizes = piece.take(pa.array(at)), np.array(sizes, np.int64)
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in diffs])]).astype(np.int32), np.concatenate(diffs))
+                yield pa.RecordBatch.from_arrays([members.column("a"), members.column("b"), pa.array(sizes[:, 0]), pa.array(sizes[:, 1]), lists], names=["a", "b", "size_a", "size", "diff"])
 
 
 def _is_link(sizes: Column, apart: Column, threshold: float) -> Column:
@@ -243,11 +249,13 @@ def _classes(docs: DataFrame, text: str, id_col: str, threshold: float) -> DataF
     salts = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).alias("salts")).filter("salts > 1"), "salts")
     if salts.count() <= BROADCAST_ROWS:
         salts = F.broadcast(salts)
-    hubs = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")).join(salts, "a", "left")
-    hubs = hubs.withColumn("salt", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    pairs = pairs.join(salts, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))).drop("salts")
-    pairs = pairs.join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b").join(hubs, ["a", "salt"])
-    first = pairs.select("a", "b", "set_a", "set_b").mapInArrow(_compared, "a binary, b binary, size_a long, size long, diff array<long>")
+    hubs = pairs.select("a").distinct().join(salts, "a", "left").join(sets.select(F.col("key").alias("a"), "set"), "a")
+    hubs = hubs.select("a", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "set")
+    met = pairs.join(salts, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt"), "b")
+    met = met.join(sets.select(F.col("key").alias("b"), "set"), "b").select("a", "salt", "b", "set")
+    # each hub's set goes ahead of its members' and along with them once
+    met = hubs.unionByName(met).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    first = met.select("a", "b", "set").mapInArrow(_compared, "a binary, b binary, size_a long, size long, diff array<long>")
     first = stored(first.withColumn("near", _is_link(F.col("size_a") + F.col("size"), F.size("diff"), threshold)), "first")
     labels = components(first.filter("near").select("a", "b"))
 
