@@ -17,7 +17,9 @@ with the tasks.
 
 Defined cases: a null text counts as the empty one and gets the score of a
 window without words; a label other than 0 or 1 isn't used; without labels of
-both classes every score is the share of ones (0.5 without labels); repeated
+both classes every score is the share of ones (0.5 without labels, and then nothing is rejected); a document whose id
+occurs in several rows is learned by its least text; long texts are scored whole, by all
+their windows; columns other than id and text pass through, whatever their names; repeated
 rows are scored alike; an empty table gives an empty result.
 """
 
@@ -37,6 +39,8 @@ WINDOW, STRIDE, PIECE = 32, 16, 12
 PER_CLASS, VOCABULARY, EPOCHS = 600, 5_000, 16
 #: Windows that training sees at least; small samples get more epochs.
 LEAST_WINDOWS = 50_000
+#: Bytes of text that are in hand at once.
+_PIECE = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -129,6 +133,7 @@ class Network:
             self.p |= {f"{level}a": init(size, 8), f"{level}v": init(8, 1)}
         self.head = np.array([1.0, 0.0, 0.0, 0.0])
         self.share: float | None = None
+        self.unlabelled = False
 
     def _pool(self, level: str, hs: np.ndarray, inside: np.ndarray, keep: dict | None = None) -> np.ndarray:
         e = np.tanh(hs @ self.p[f"{level}a"])
@@ -261,6 +266,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     if len(set(labels)) < 2:
         net = Network(np.zeros(0, np.uint64))
         net.share = float(y.mean()) if len(y) else 0.5
+        net.unlabelled = not len(y)
         return net
     rng = np.random.default_rng(seed)
     t = Texts(pa.array(texts, pa.string()))
@@ -309,11 +315,11 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id_col: str = "doc_id", divisor: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> Network:
     """Trains on at most per_class labelled documents of each class that aren't held out."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), divisor) != held_out))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), divisor) != held_out)).distinct()
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = known.filter("y = 1").orderBy(*order).limit(per_class).unionByName(known.filter("y = 0").orderBy(*order).limit(per_class))
     # at most 2 * per_class rows
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").collect()
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"], r["y"]))
     return train([r["text"] for r in rows], [r["y"] for r in rows])
 
@@ -325,7 +331,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in b.pieces(batch, "text", 2 << 20):
+            for piece in b.pieces(batch, "text", _PIECE):
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(net.scores(piece.column("text")), pa.float64())], names=["doc_id", "score"])
 
     out = docs.select(F.col(id_col).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
@@ -335,11 +341,13 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.5, **options: object) -> DataFrame:
     """The document rows, all columns, that score below the threshold. The score is added row by row in one map, nothing is joined."""
     net = fit(docs, labels, text=text, id_col=id_col, **options)
+    if net.unlabelled:
+        return docs
     fields = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in b.pieces(batch, text, 2 << 20):
+            for piece in b.pieces(batch, text, _PIECE):
                 yield piece.filter(pa.array(net.scores(piece.column(text)) < threshold))
 
     return docs.mapInArrow(run, fields)
