@@ -26,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored, text_of
+from quern.llm.common import scratch, stored, text_of
 
 K = 5
 SPAN = 10
@@ -178,7 +178,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids."""
-    found = digest(spans(docs, items, text, id_col, item_text, item_id))
+    with scratch(docs.sparkSession) as own:
+        found = own.kept(digest(spans(docs, items, text, id_col, item_text, item_id)), "contamination")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"))
     a, b = rows.alias("a"), found.alias("b")
     return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))).select("a.doc_id", *(f"b.{c}" for c in found.columns if c not in ("doc_id", "text_hash")))
@@ -186,6 +187,10 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """The document rows, all columns, without those that hold a window of an item."""
-    found = digest(spans(docs, items, text, id_col, item_text, item_id)).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = docs.alias("a")
-    return rows.join(found.alias("b"), F.col(f"a.{id_col}").eqNullSafe(F.col("b._id")) & (F.xxhash64(text_of(F.col(f"a.{text}"))) == F.col("b._hash")), "left_anti")
+    with scratch(docs.sparkSession) as own:
+        found = digest(spans(docs, items, text, id_col, item_text, item_id)).filter("contaminated")
+        found = own.kept(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "contaminated")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    a, b = docs.alias("a"), found.alias("b")
+    return a.join(b, F.col(f"a.{id_col}").eqNullSafe(F.col("b._id")) & (F.xxhash64(text_of(F.col(f"a.{text}"))) == F.col("b._hash")), "left_anti")
