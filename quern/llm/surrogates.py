@@ -1,35 +1,42 @@
 """Personal data replaced by keyed surrogates (native: DataFrame expressions only).
 
 One pattern finds e-mail addresses, telephone numbers, IP addresses, card, bank
-and social security numbers, secrets, and names of up to four parts behind a title. A text is split
-at the matches; segments and matches alternate, so replacing is a join of arrays.
+and social security numbers, secrets, and names of up to four parts behind a title. Names
+that a text has behind a title are found again wherever it repeats them without one. A text
+is split at the matches; segments and matches alternate, so replacing is a join of arrays.
 
 Each distinct entity (type and canonical form) gets one surrogate for the whole
 corpus, drawn from a keyed digest: same type, same length and punctuation,
-country codes and top-level domains kept, valid octets, a valid check digit
-where the original had one, and for names the gender of the title and the script
+country codes and top-level domains kept, capitals where they were, valid octets, valid check digits
+where the original had them, and for names the gender of the title and the script
 of the name. Names are replaced part by part, so that "Mr Smith" and "Mr John
 Smith" still agree. Differently written forms of a number stay one entity.
 
 Collision checks: a surrogate that equals a real entity, or another's surrogate,
-is drawn again with the next nonce, until all are distinct. Distinct entities
+is drawn again with the next nonce. Where a format has so few values that ROUNDS
+draws don't end it (more than half of them real, as a rule), what is left of the format is
+permuted by a keyed order among itself: those surrogates are real values of others, and each
+still differs from its own entity and from all other surrogates. Distinct entities
 stay distinct, and equal ones equal.
 
 Only occurrences are shuffled, and the texts that hold one. Defined cases: a
-null text stays null; a text without entities stays as it is; repeated rows get
-the same text; other columns pass through.
+null text stays null; a text without entities stays as it is, as do empty ones; long texts are
+searched whole; repeated rows get the same text; of equal draws the least entity keeps its own;
+an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, stored, text_of
+from quern.llm.common import fresh, scratch, stored, text_of
 
 BROADCAST_ROWS = 200_000
+#: Draws before the rest of a format is permuted; rows of a permutation that meet in one task.
+ROUNDS, RING_ROWS = 8, 5_000
 MALE = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "Sir", "Lord", "Mister", "Г-н", "Господин", "Κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Dame", "Lady", "Mlle", "Mademoiselle", "Signorina", "Señorita", "Srta", "Dra", "Г-жа", "Госпожа", "Κυρία"]
 #: Titles without a gender.
@@ -66,8 +73,9 @@ PATTERNS = [
     ("NAME", f"(?<=[\\s\\u00A0])(?=\\p{{Lu}})(?:(?<=(?<!\\p{{L}}){_TITLE}\\.?{_BLANK})|(?<=(?<!\\p{{L}})\\p{{Lu}}[\\p{{L}}'’.\\-]{{0,61}}{_BLANK})(?<=(?<!\\p{{L}}){_TITLE}\\.?{_BLANK}{_PART}(?:{_PART})?(?:{_PART})?))(?!{_TITLE}(?!\\p{{L}})){_NAME}(?!\\p{{L}})"),
 ]
 ALL = "|".join(p for _, p in PATTERNS)
-#: What every match needs; cheap, and false for most texts.
-HINT = f"[0-9@]|(?=[{''.join(sorted({x[0] for x in MALE + FEMALE + NEUTRAL}))}]){_TITLE}\\.?{_BLANK}\\p{{Lu}}"
+#: What every match has: a digit, an at sign, a secret without either, or a title before a capital. Cheap, and false for most texts.
+HINT = f"[0-9@]|(?:AKIA|ASIA)[A-Z]{{16}}|gh[pousr]_[A-Za-z]|sk-[A-Za-z]|[a-f]{{32}}|[A-F]{{32}}|(?=[{''.join(sorted({x[0] for x in MALE + FEMALE + NEUTRAL}))}]){_TITLE}\\.?{_BLANK}\\p{{Lu}}"
+NAMES = ("FAMILY", "GIVEN_M", "GIVEN_F")
 
 
 def split_up(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -75,16 +83,17 @@ def split_up(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.split(F.col(text), ALL, -1).alias("segs"), F.regexp_extract_all(text, F.lit(ALL), F.lit(0)).alias("ents"))
 
 
-def _kind(i: Column) -> Column:
-    """Type of the match i of segs and ents; of names with gender, from the title before them."""
+def _kind(i: Column, named: Column | None = None) -> Column:
+    """Type of the match i of segs and ents; of names with gender, from the title before them, or that of the same word in named, (entity, kind) of the text's names."""
     e, before, after = F.get("ents", i), F.get("segs", i), F.get("segs", i + 1)
     male, female = ("(?:^|[^\\p{L}])(?:" + "|".join(x) + f")\\.?{_BLANK}$" for x in (MALE, FEMALE))
     title = before.rlike(male) | before.rlike(female)
     full = after.rlike(f"^\\.?{_BLANK}$") & F.coalesce(F.get("ents", i + 1), F.lit("")).rlike(f"^{_NAME}$")
+    other = F.lit("FAMILY") if named is None else F.coalesce(F.get(F.filter(named, lambda x: x["entity"] == e), F.lit(0))["kind"], F.lit("FAMILY"))
     out = F.when(F.lit(False), F.lit(""))
     for name, pattern in PATTERNS[:-1]:
         out = out.when(e.rlike(f"^(?:{pattern})$"), name)
-    out = out.when(e.rlike(f"^{_NAME}$"), F.when(title & full, F.when(before.rlike(male), "GIVEN_M").otherwise("GIVEN_F")).otherwise("FAMILY"))
+    out = out.when(e.rlike(f"^{_NAME}$"), F.when(title & full, F.when(before.rlike(male), "GIVEN_M").otherwise("GIVEN_F")).when(title, "FAMILY").otherwise(other))
     return out.otherwise("OTHER")
 
 
@@ -123,6 +132,13 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x))
 
 
+def _mod97(iban: Column) -> Column:
+    """Remainder of the number that an IBAN stands for; 1 where its check digits are right."""
+    turned = F.split(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4)), "")
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(turned, F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+
+
 def _name(kind: Column, canon: Column, h: Column, nonce: Column) -> Column:
     script = F.when(canon.rlike("\\p{IsCyrillic}"), "cyrillic").when(canon.rlike("\\p{IsGreek}"), "greek").otherwise("latin")
 
@@ -153,25 +169,67 @@ def surrogate(kind: Column, canon: Column, nonce: Column, key: str) -> Column:
     secret = F.when(canon.rlike("^[0-9a-f]+$"), F.substring(F.concat(h, F.sha2(h, 512)), F.lit(1), F.length(canon))).when(canon.rlike("^[0-9A-F]+$"), F.upper(F.substring(F.concat(h, F.sha2(h, 512)), F.lit(1), F.length(canon))))
     marked = F.regexp_extract(canon, "^(?:AKIA|ASIA|gh[pousr]_|sk-)", 0)
     secret = secret.otherwise(F.concat(marked, _same_classes(F.substring(canon, F.length(marked) + 1, F.length(canon)), h)))
-    iban = F.concat(F.substring(canon, 1, 2), _same_classes(F.substring(canon, F.lit(3), F.length(canon)), h))
+    account = _same_classes(F.substring(canon, F.lit(5), F.length(canon)), h)
+    checks = F.lpad((98 - _mod97(F.concat(F.substring(canon, 1, 2), F.lit("00"), account))).cast("string"), 2, "0")
+    iban = F.concat(F.substring(canon, 1, 2), F.when(_mod97(canon) == 1, checks).otherwise(_same_classes(F.substring(canon, 3, 2), F.reverse(h))), account)
     return (
         F.when(kind == "EMAIL", email).when(kind == "IP", octets).when(kind == "IPV6", _same_classes(canon, h, lower="abcdef")).when(kind == "PHONE", phone).when(kind == "CARD", card).when(kind == "SECRET", secret).when(kind == "IBAN", iban)
         .when(kind.isin("FAMILY", "GIVEN_M", "GIVEN_F"), _name(kind, canon, h, nonce)).otherwise(_same_classes(canon, h))
     )
 
 
+def shape(kind: Column, canon: Column) -> Column:
+    """What a surrogate keeps of its entity: entities of one shape have their surrogates in one space."""
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(canon, "[0-9]", "0"), "\\p{Lu}", "A"), "[\\p{L}&&[^A]]", "a")
+    return (
+        F.when(kind == "EMAIL", F.concat(F.substring_index(classes, "@", 1), F.lit("@"), F.substring_index(canon, "@", -1)))
+        .when(kind == "IP", "")
+        .when(kind == "PHONE", F.concat(F.regexp_extract(canon, "^\\+[0-9]+ ", 0), classes))
+        .when(kind == "CARD", F.concat(F.substring(canon, 1, 1), F.length(canon).cast("string"), (_luhn(canon) % 10 == 0).cast("string")))
+        .when(kind == "IBAN", F.concat(F.substring(canon, 1, 2), (_mod97(canon) == 1).cast("string"), classes))
+        .otherwise(classes)
+    )
+
+
 def rendered(kind: Column, e: Column, new: Column) -> Column:
-    """The surrogate in the writing of the entity e: its digits and letters at the places of e's, or its capital."""
+    """The surrogate in the writing of the entity e: its digits and letters at the places of e's, its capitals where e has some."""
     at = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
     plain = F.regexp_replace(new, "[^0-9A-Za-z]", "")
     spread = F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(plain, at(i), F.lit(1))).otherwise(c)), "")
-    return F.when(kind.isin("PHONE", "CARD", "SSN", "IBAN"), spread).when(kind.isin("FAMILY", "GIVEN_M", "GIVEN_F"), F.initcap(new)).otherwise(new)
+    cased = F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(F.substring(e, i + 1, F.lit(1)).rlike("^\\p{Lu}$"), F.upper(c)).otherwise(c)), "")
+    name = F.when((F.length(e) > 1) & (e == F.upper(e)), F.upper(new)).otherwise(F.initcap(new))
+    return F.when(kind.isin("PHONE", "CARD", "SSN", "IBAN"), spread).when(kind.isin("EMAIL", "IPV6") & e.rlike("\\p{Lu}"), cased).when(kind.isin(*NAMES), name).otherwise(new)
+
+
+def _ring(left: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """(kind, new, canon) of what the draws left: of one shape, each takes the next one's value in a keyed order.
+
+    A lone one changes places with the least that is done of its shape; if there is none, its last character moves on.
+    """
+    order = F.xxhash64(F.lit(key), "kind", "canon")
+    left = left.select("kind", "canon", shape(F.col("kind"), F.col("canon")).alias("shape"), order.alias("order"))
+    sizes = left.groupBy("kind", "shape").agg(F.count("*").alias("n"))
+    left = left.join(sizes, ["kind", "shape"]).withColumn("ring", F.pmod("order", F.greatest(F.lit(1), F.floor(F.col("n") / RING_ROWS))))
+    window = Window.partitionBy("kind", "shape", "ring").orderBy("order", "canon")
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ringed = left.filter("n > 1").select("kind", F.coalesce(F.lead("canon").over(window), F.first("canon").over(whole)).alias("new"), "canon")
+    lone = left.filter("n = 1").select("kind", "shape", F.col("canon").alias("own"))
+    partners = done.withColumn("shape", shape(F.col("kind"), F.col("canon"))).join(lone, ["kind", "shape"], "left_semi").groupBy("kind", "shape").agg(F.min(F.struct("canon", "new")).alias("p"))
+    lone = lone.join(partners, ["kind", "shape"], "left")
+    last = F.substring("own", -1, 1)
+    moved = F.concat(F.expr("substring(own, 1, length(own) - 1)"), F.when(last.rlike("[0-9]"), F.pmod(last.cast("int") + 1, F.lit(10)).cast("string")).when(last == "z", "a").when(last == "Z", "A").otherwise(F.char(F.ascii(last) + 1)))
+    swapped = lone.filter("p is not null")
+    return (
+        ringed.unionByName(swapped.select("kind", F.col("p.new").alias("new"), F.col("own").alias("canon")))
+        .unionByName(swapped.select("kind", F.col("own").alias("new"), F.col("p.canon").alias("canon")))
+        .unionByName(lone.filter("p is null").select("kind", moved.alias("new"), F.col("own").alias("canon")))
+    )
 
 
 def assigned(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, new) for distinct (kind, canon); all new differ from each other and from all canon of their kind."""
+    """(kind, canon, new) for distinct (kind, canon); all new of a kind differ from each other and from their own canon, and from every canon as far as the format has room."""
     pending, done = entities.withColumn("nonce", F.lit(0)), []
-    while True:
+    for _ in range(ROUNDS):
         drawn = stored(pending.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("nonce"), key)), "drawn")
         taken = reduce(DataFrame.unionByName, (d.select("kind", "new") for d in done), entities.select("kind", F.col("canon").alias("new")))
         first = drawn.join(taken, ["kind", "new"], "left_anti").groupBy("kind", "new").agg(F.min("canon").alias("canon"))
@@ -180,35 +238,49 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
         pending = drawn.join(good, ["kind", "canon"], "left_anti").select("kind", "canon", (F.col("nonce") + 1).alias("nonce"))
         if pending.isEmpty():
             return reduce(DataFrame.unionByName, done)
+    done = reduce(DataFrame.unionByName, done)
+    rest = stored(_ring(pending, done, key), "ring")
+    return done.join(rest, ["kind", "canon"], "left_anti").select("kind", "new", "canon").unionByName(rest)
 
 
 def occurrences(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, text_hash, i (from 0), entity, kind, canon of each distinct (id, text)."""
+    """doc_id, text_hash, more, i (from 0), entity, kind, canon of each distinct (id, text); more is the pattern of the text's own names."""
     found = docs.filter(text_of(text).rlike(HINT)).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("t"))
-    found = split_up(found, "t", "doc_id", "text_hash")
-    found = found.select("doc_id", "text_hash", F.posexplode_outer(F.transform("ents", lambda e, i: F.struct(e.alias("entity"), _kind(i).alias("kind")))).alias("i", "x"))
-    found = found.select("doc_id", "text_hash", "i", "x.entity", "x.kind").filter(F.col("entity").isNotNull())
+    typed = F.transform("ents", lambda e, i: F.struct(e.alias("entity"), _kind(i).alias("kind")))
+    found = split_up(found, "t", "doc_id", "text_hash", "t").filter(F.size("ents") > 0).select("doc_id", "text_hash", "t", typed.alias("x"))
+    found = found.withColumn("named", F.array_distinct(F.filter("x", lambda x: x["kind"].isin(*NAMES) & (F.length(x["entity"]) > 1))))
+    found = stored(found.withColumn("t", F.when(F.size("named") > 0, F.col("t"))), "found")
+    # the longest first, so that of "Smith-Jones" and "Smith" the whole is found
+    words = F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct("named.entity"), lambda e: F.struct(F.length(e).alias("n"), e.alias("e"))))), lambda x: x["e"])
+    again = found.filter(F.size("named") > 0).withColumn("more", F.concat(F.lit("|(?<![\\p{L}\\p{N}])(?:"), F.array_join(words, "|"), F.lit(")(?![\\p{L}\\p{N}])")))
+    pattern = F.concat(F.lit(ALL), "more")
+    again = again.select("doc_id", "text_hash", "more", "named", F.split("t", pattern, -1).alias("segs"), F.regexp_extract_all("t", pattern, F.lit(0)).alias("ents"))
+    again = again.select("doc_id", "text_hash", "more", F.transform("ents", lambda e, i: F.struct(e.alias("entity"), _kind(i, F.col("named")).alias("kind"))).alias("x"))
+    found = found.filter(F.size("named") == 0).select("doc_id", "text_hash", F.lit("").alias("more"), "x").unionByName(again)
+    found = found.select("doc_id", "text_hash", "more", F.posexplode_outer("x").alias("i", "x")).select("doc_id", "text_hash", "more", "i", "x.entity", "x.kind")
     return found.withColumn("canon", canonical(F.col("kind"), F.col("entity"))).distinct()
 
 
 def pseudonymised(docs: DataFrame, key: str = "quern", text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The document rows with text replaced and n_entities added (with a leading underscore where that name is taken)."""
-    (count,) = fresh(docs, "n_entities")
-    seen = stored(occurrences(docs, text, id_col), "occurrences")
-    names = assigned(seen.select("kind", "canon").distinct(), key)
-    new = seen.join(names, ["kind", "canon"]).select("doc_id", "text_hash", "i", rendered(F.col("kind"), F.col("entity"), F.col("new")).alias("new"))
-    new = new.groupBy("doc_id", "text_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias("__new"))
-    new = stored(new.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__new"), "replacements")
+    count, id_, hash_, new_, segs, more = fresh(docs, "n_entities", "id_", "hash_", "new_", "segs_", "more_")
+    with scratch(docs.sparkSession) as own:
+        seen = stored(occurrences(docs, text, id_col), "occurrences")
+        names = assigned(seen.select("kind", "canon").distinct(), key)
+        new = seen.join(names, ["kind", "canon"]).select("doc_id", "text_hash", "more", "i", rendered(F.col("kind"), F.col("entity"), F.col("new")).alias("new"))
+        new = new.groupBy("doc_id", "text_hash", "more").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias(new_))
+        new = own.kept(new.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("more").alias(more), new_), "replacements")
+    replaced = F.col(new_).isNotNull()
+    pieces = F.when(F.col(more) == "", F.split(F.col(text), ALL, -1)).otherwise(F.split(F.col(text), F.concat(F.lit(ALL), F.col(more)), -1))
+    right = F.size(segs) == F.size(new_) + 1
+    joined = F.when(right, F.array_join(F.flatten(F.zip_with(segs, new_, lambda s, e: F.array(s, F.coalesce(e, F.lit(""))))), "")).otherwise(F.raise_error(F.lit("segments and entities differ")).cast("string"))
+
+    def joined_to(rows: DataFrame, new: DataFrame) -> DataFrame:
+        both = rows.join(new, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_of(text)) == F.col(hash_)), "left").withColumn(segs, F.when(replaced, pieces))
+        return both.select(*(F.when(replaced, joined).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns), F.when(replaced, F.size(new_)).otherwise(0).cast("long").alias(count))
+
     if new.count() <= BROADCAST_ROWS:
-        new = F.broadcast(new)
+        return joined_to(docs, F.broadcast(new))
+    # beyond that only texts that may hold an entity are shuffled
     hint = text_of(text).rlike(HINT)
-    held = docs.filter(hint)
-    both = held.join(new, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text)) == F.col("__hash")), "left").drop("__id", "__hash")
-    both = both.withColumn("__segs", F.when(F.col("__new").isNotNull(), F.split(F.col(text), ALL, -1)))
-    right = F.size("__segs") == F.size("__new") + 1
-    joined = F.when(right, F.array_join(F.flatten(F.zip_with("__segs", "__new", lambda s, e: F.array(s, F.coalesce(e, F.lit(""))))), "")).otherwise(F.raise_error(F.lit("segments and entities differ")).cast("string"))
-    both = both.select(
-        *(F.when(F.col("__new").isNull(), F.col(text)).otherwise(joined).alias(c) if c == text else F.col(c) for c in docs.columns),
-        F.when(F.col("__new").isNull(), 0).otherwise(F.size("__new")).cast("long").alias(count),
-    )
-    return docs.filter(~hint).withColumn(count, F.lit(0).cast("long")).unionByName(both)
+    return docs.filter(~hint).withColumn(count, F.lit(0).cast("long")).unionByName(joined_to(docs.filter(hint), new))
