@@ -11,9 +11,13 @@ the same in any order of documents.
 1. One map counts byte grams (DEPTH + 1 bytes) and words of each partition; a
    sum per key follows. Grams of held-out texts come along with count 0, so that
    every gram has a row.
-2. Grams are dealt out by their two latest context bytes (65,536 groups at most,
-   none near a third), where all nodes from DEPTH to 2 lie together; the nodes of
-   depths 1 and 0 (bounded: 257 * 255) are combined from sums. Each gram gets the
+2. Grams are dealt out by their three latest context bytes and sorted, so that a task
+   takes whole groups in pieces of about CHUNK rows; a group has at most 2^24 grams, however
+   large the corpus. There all nodes from DEPTH to 3 lie together, and the tree is built once:
+   each gram gets its mixed predictions so far, each node of depth 2 what the group adds to
+   its counts and its children's product. Those sums, by key, make the nodes of depth 2
+   (2^24 at most; some hundred thousand for text), and those the nodes of depths 1 and 0
+   (257 * 255), which a second map without a shuffle mixes in. Each gram gets the
    log10 probability of its last byte.
 3. A last map adds up the logs over every text. The tables of grams and words are
    broadcast up to BROADCAST_ROWS rows; beyond that, documents are dealt into
@@ -22,7 +26,9 @@ the same in any order of documents.
 
 Words are told apart by 64-bit hashes. Defined cases: a null text is the empty
 text: one end; without training texts every bit has probability 1/2, and
-base_score is 0 as all counts are; repeated rows count as often as they occur.
+base_score is 0 as all counts are; repeated rows count as often as they occur; long texts
+are scored whole, in one piece; rows with equal ids and texts get equal scores; an empty table
+gives an empty result; columns other than id and text aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,14 +44,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bytes_np as b
-from quern.llm.common import remainder, stored, text_of
+from quern.llm.common import remainder, scratch, stored, text_of
 
 DEPTH = 5
-BROADCAST_ROWS = 12_000_000
+BROADCAST_ROWS = 6_000_000
 BLOCK_BYTES = 32 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MERGE = 1_000_000
+#: Grams of whole groups that are in hand at once.
+CHUNK = 500_000
 #: Bytes of text that are in hand at once.
 _PIECE = 1 << 19
 
@@ -210,46 +218,101 @@ class Root:
         return out
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    rows = [(x.column("key").to_numpy().view(np.uint64), x.column("n").to_numpy()) for x in batches]
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*rows, strict=True))
+class Second:
+    """Depth 2: for each (two latest bytes, bits) node that occurs the KT weight and the estimate for a one."""
 
+    def __init__(self, keys: np.ndarray, weight: np.ndarray, one: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.weight, self.one = keys[order], weight[order], one[order]
 
-def gram_table(counts: DataFrame, depth: int) -> DataFrame:
-    """(key, log10 of the probability of the gram's byte after its context) from (key, n)."""
-    dealt = counts.withColumn("near", F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF)))
-    dealt = dealt.repartition(F.col("near")).select("key", "n")
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = _gathered(batches)
-        if not len(keys):
-            return
-        _, nodes = _tree(keys, n, depth, 2)
-        out = np.zeros((256, 256, 3))
-        for j, (names, zeros, ones, weighted) in nodes.items():
-            last = ((names >> np.uint64(8 + j)) & np.uint64(255)).astype(np.int64)
-            node = (1 << j) | (names & np.uint64((1 << j) - 1)).astype(np.int64)
-            for k, v in enumerate((zeros, ones, weighted)):
-                np.add.at(out[:, :, k], (last, node), v)
-        x, y = np.nonzero(out.any(axis=2))
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *(pa.array(out[x, y, k]) for k in range(3))], names=["x", "y", "zeros", "ones", "weighted"])
+    def mixed(self, keys: np.ndarray, below: np.ndarray) -> np.ndarray:
+        byte = (keys & np.uint64(255)).astype(np.int64)
+        two = (((keys >> np.uint64(8)) & np.uint64(255)) << np.uint64(8) | (keys >> np.uint64(16)) & np.uint64(255)).astype(np.int64)
+        out = np.empty_like(below)
+        for j in range(8):
+            at = np.searchsorted(self.keys, (two << 8) | (1 << j) | (byte >> (8 - j)))
+            own = np.where((byte >> (7 - j)) & 1, self.one[at], 1 - self.one[at])
+            out[:, j] = self.weight[at] * own + (1 - self.weight[at]) * below[:, j]
+        return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of whole groups of grams with equal latest three bytes, about CHUNK rows at a time, from rows sorted by group."""
+    keys, n, held = [], [], 0
+    for batch in batches:
+        keys.append(batch.column("key").to_numpy().view(np.uint64))
+        n.append(batch.column("n").to_numpy())
+        held += batch.num_rows
+        if held >= CHUNK:
+            k, c = np.concatenate(keys), np.concatenate(n)
+            near = (k >> np.uint64(8)) & np.uint64(0xFFFFFF)
+            end = int(np.searchsorted(near, near[-1]))
+            if end:
+                yield k[:end], c[:end]
+            keys, n, held = [k[end:]], [c[end:]], len(k) - end
+    if held:
+        yield np.concatenate(keys), np.concatenate(n)
+
+
+def _built(depth: int):
+    """From sorted grams: kind 0, a row per gram with its eight mixed predictions, and kind 1, what nodes of depth 2 get of their children."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "key", "p", "zeros", "ones", "weighted"]
+        for keys, n in _groups(batches):
+            mixed, nodes = _tree(keys, n, depth, 3)
+            for k in range(0, len(keys), 50_000):
+                part = np.ascontiguousarray(mixed[k : k + 50_000])
+                m = len(part)
+                binary = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * 64).astype(np.int32)), pa.py_buffer(part)])
+                none = pa.nulls(m, pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(keys[k : k + 50_000].view(np.int64)), binary, none, none, none], names=names)
+            above, sums = [], []
+            for j, (own, zeros, ones, weighted) in nodes.items():
+                above.append((((own >> np.uint64(8 + j)) << np.uint64(8)) | np.uint64(1 << j) | (own & np.uint64((1 << j) - 1))).view(np.int64))
+                sums.append(np.stack([zeros, ones, weighted]))
+            found, where = np.unique(np.concatenate(above), return_inverse=True)
+            out = [np.bincount(where, v, len(found)) for v in np.concatenate(sums, axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.array(found), pa.nulls(len(found), pa.binary()), *(pa.array(v) for v in out)], names=names)
+
+    return run
+
+
+def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of depth 2: their weight against their children, their estimate for a one, and their own weighted probability."""
+    for batch in batches:
+        zeros, ones, children = (batch.column(c).to_numpy() for c in ("zeros", "ones", "weighted"))
+        kt = log_kt(zeros, ones)
+        weight = 1 / (1 + np.exp(np.clip(children - kt, -700, 700)))
+        weighted = np.logaddexp(kt, children) + math.log(0.5)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(weight), pa.array((ones + 0.5) / (zeros + ones + 1)), batch.column("zeros"), batch.column("ones"), pa.array(weighted)], names=["key", "weight", "one", "zeros", "ones", "weighted"])
 
+
+def gram_table(counts: DataFrame, depth: int) -> DataFrame:
+    """(key, log10 of the probability of the gram's byte after its context) from (key, n); depth is 3 at least."""
+    dealt = counts.withColumn("near", F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFFFF)))
+    dealt = dealt.repartition(F.col("near")).sortWithinPartitions("near").select("key", "n")
+    built = stored(dealt.mapInArrow(_built(depth), "kind int, key long, p binary, zeros double, ones double, weighted double"), "tree")
+    second = built.filter("kind = 1").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")))
+    second = stored(second.mapInArrow(_second, "key long, weight double, one double, zeros double, ones double, weighted double"), "second")
     sums = np.zeros((256, 256, 3))
-    parts = dealt.mapInArrow(top, "x long, y long, zeros double, ones double, weighted double")
-    for r in parts.groupBy("x", "y").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).collect():  # 65,280 rows at most
+    first = second.groupBy(F.shiftright("key", 16).alias("x"), F.col("key").bitwiseAND(F.lit(255)).alias("y"))
+    for r in first.agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).collect():  # 65,280 rows at most
         sums[r["x"], r["y"]] = r["zeros"], r["ones"], r["weighted"]
-    root = Root(sums)
+    nodes = second.select("key", "weight", "one").toArrow()  # 24 bytes a row, 2^24 rows at most
+    upper = counts.sparkSession.sparkContext.broadcast((Second(*(nodes.column(c).to_numpy() for c in ("key", "weight", "one"))), Root(sums)))
 
     def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = _gathered(batches)
-        if len(keys):
-            out = root.log10(keys, _tree(keys, n, depth, 2)[0])
-            for k in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 50_000].view(np.int64)), pa.array(out[k : k + 50_000])], names=["key", "v"])
+        second, root = upper.value
+        for batch in batches:
+            if batch.num_rows:
+                keys = batch.column("key").to_numpy().view(np.uint64)
+                p = batch.column("p")
+                at = np.frombuffer(p.buffers()[1], np.int32)[p.offset]
+                below = np.frombuffer(p.buffers()[2], np.float64, 8 * len(p), int(at)).reshape(-1, 8)
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(root.log10(keys, second.mixed(keys, below)))], names=["key", "v"])
 
-    return stored(dealt.mapInArrow(logs, "key long, v double"), "logs")
+    return stored(built.filter("kind = 0").select("key", "p").mapInArrow(logs, "key long, v double"), "logs")
 
 
 class _Lookup:
@@ -283,13 +346,14 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", divisor:
     kind = docs.schema[id_col].dataType.simpleString()
     out_of = remainder(F.col(id_col), divisor) == held_out
     source = docs.select(F.col(id_col).alias("doc_id"), (~out_of).alias("training"), text_of(text).alias("text"))
-    counted = source.select("training", "text").mapInArrow(_counting(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counted = stored(counted, "counts")
-    words = counted.filter("kind = 1 and n > 0").select("key", "n")
+    with scratch(spark) as own:
+        counted = source.select("training", "text").mapInArrow(_counting(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        counted = stored(counted, "counts")
+        words = own.kept(counted.filter("kind = 1 and n > 0").select("key", "n"), "words")
+        table = own.kept(gram_table(counted.filter("kind = 0").select("key", "n"), depth), "grams")
     ends = source.filter("training").count()
     n_words, sum_words = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     total, distinct = sum_words + ends, n_words + (ends > 0)
-    table = gram_table(counted.filter("kind = 0").select("key", "n"), depth)
     least = -math.log10(total + distinct + 1)
     log_end = math.log10(ends + 1) + least if total else 0.0
 
