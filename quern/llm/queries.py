@@ -53,13 +53,15 @@ def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: source/language/folder/name; each document whose id is a multiple of 40 is its folder's licence file."""
+    """Documents as files: source/language/folder/name. Each document whose id is a multiple of 40 is a licence file: every sixth of its source, every third other of its language's folder, the rest of their own folder."""
     from pyspark.sql import functions as F
 
     from quern.llm.licenses import scan
 
     name = F.when(F.col("doc_id") % 40 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), (F.floor(F.col("doc_id") / 40) % 50).cast("string")), name)
+    low = F.when(F.col("doc_id") % 240 == 0, F.lit(None)).otherwise(F.col("lang"))
+    own = F.when(F.col("doc_id") % 120 == 0, F.lit(None)).otherwise(F.concat(F.lit("d"), (F.floor(F.col("doc_id") / 40) % 50).cast("string")))
+    path = F.concat_ws("/", "source", low, own, name)
     return scan(table(spark, sf_dir, "documents").withColumn("path", path))
 
 
@@ -82,6 +84,28 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7_mixing aims at, which SQL can express."""
+    from pyspark.sql import functions as F
+
+    from quern.llm.mixing import targets
+
+    found = targets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op8_quality_rules, which SQL can express."""
+    return op8_quality_rules(spark, sf_dir).drop("kept", "posterior")
+
+
+def ctw_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word columns of op4_ctw, which SQL can express."""
+    from pyspark.sql import functions as F
+
+    return op4_ctw(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +125,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_near_dups": op10_near_dups,
         "pipeline": pipeline,
+        "mixing_targets": mixing_targets,
+        "quality_base": quality_base,
+        "ctw_base": ctw_base,
     }
 
 
@@ -108,6 +135,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1_SQL,
         "op6_decontamination": OP6_SQL,
+        "mixing_targets": TARGETS_SQL,
+        "quality_base": QUALITY_SQL,
+        "ctw_base": CTW_SQL,
     }
 
 
@@ -150,3 +180,41 @@ SELECT page_id, CAST(strlen(d.html) AS BIGINT) AS payload_bytes, digest AS paylo
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM digests d JOIN last l ON d.html = l.html
 """
+
+_SPLIT = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+TARGETS_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_SPLIT}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, encode(coalesce(source, ''))) - 1) % 3 + 1] AS w, 1.5 * sum(source_size) OVER () AS total FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / w, source) AS i FROM w WHERE source_size > 0),
+l AS (SELECT *, (total - (sum(2.0 * source_size) OVER (ORDER BY i) - 2.0 * source_size)) / (sum(w) OVER (ORDER BY i DESC)) AS level FROM o),
+f AS (SELECT min(i) AS i FROM l WHERE level <= 2.0 * source_size / w),
+t AS (SELECT source, CASE WHEN i < coalesce((SELECT i FROM f), 1e18) THEN 2.0 * source_size ELSE w * (SELECT level FROM l WHERE l.i = (SELECT i FROM f)) END AS target FROM l)
+SELECT doc_id, size, source_size, round(coalesce(target, 0.0), 4) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+QUALITY_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_SPLIT} AS w FROM documents),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+g AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
+twice AS (SELECT r, g FROM g GROUP BY r, g HAVING count(*) > 1),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT g.r, unnest([i, i + 1, i + 2]) AS p FROM g JOIN twice ON g.r = twice.r AND g.g = twice.g) GROUP BY r),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN l USING (r) LEFT JOIN hit USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+#: crc32 bit by bit: the remainder, shifted, takes the polynomial where its last bit and the text's differ.
+_BITS = "list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: list_transform(range(0, 8), lambda k: CAST((ascii(x) >> k) & 1 AS BIGINT)))))"
+_CRC = f"xor(list_reduce({_BITS}, lambda c, x: xor(c >> 1, CASE WHEN (c & 1) <> x THEN 3988292384 ELSE 0 END)), 4294967295)"
+
+CTW_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} % 7 = 2 AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' ') AS w FROM documents),
+t AS (SELECT r, doc_id, held_out, unnest(w) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + 1 * (v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY r, doc_id, held_out
+"""
