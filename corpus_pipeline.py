@@ -4,6 +4,13 @@ toxicity drops documents that score as toxic; near_dups keeps one document of
 each group of near copies; decontamination drops documents that hold ten
 consecutive words of a benchmark item; surrogates replaces personal data; mixing
 gives each source its share. All but the last return the columns of documents.
+
+Defined cases, in every stage: a null text counts as the empty text, and stays null; documents
+without words are kept up to the mix, as one of each equal text, and the mix never takes
+them; a null id, source or lang is a value like any other; texts of any length are handled
+whole; repeated rows are one document in near_dedup, and any but the first go; with an empty
+table, empty labels or an empty benchmark the stages still run (no labels: nothing is
+toxic); columns that clash with added ones keep their names and values.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, mixing, near_dups, surrogates
 from quern.llm import toxicity as tox
-from quern.llm.common import stored
+from quern.llm.common import scratch, stored
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What the stages wrote in between is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    with scratch(spark) as own:
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), name)
+        name, stage = STAGES[-1]
+        return own.kept(stage(spark, docs, sf_dir), name)
