@@ -84,3 +84,28 @@ def test_no_documents_and_no_training(spark, make_docs):
     only = [i for i in range(200) if __import__("zlib").crc32(str(i).encode()) % 7 == 2][:2]
     got = ctw.score(make_docs(["ab", ""], ids=only)).orderBy("doc_id").collect()
     assert [r["base_score"] for r in got] == [0.0, 0.0] and math.isclose(got[0]["score"], 24 * math.log10(0.5))
+
+
+def test_pieces_of_whole_groups_give_the_same_table(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(97, 101, (4000, 6)) @ (256 ** np.arange(5, -1, -1)))
+    counts = spark.createDataFrame([(int(k), int(n)) for k, n in zip(keys, rng.integers(0, 9, len(keys)), strict=True)], "key long, n long")
+    whole = {r["key"]: r["v"] for r in ctw.gram_table(counts, 5).collect()}
+    monkeypatch.setattr(ctw, "CHUNK", 100)
+    parts = {r["key"]: r["v"] for r in ctw.gram_table(counts.repartition(5), 5).collect()}
+    assert whole.keys() == parts.keys() == set(keys.tolist()) and all(math.isclose(whole[k], parts[k], rel_tol=1e-9) for k in whole)
+
+
+def test_words_that_a_polynomial_would_mix_up_and_long_texts(spark, make_docs, prose):
+    """Words of a regular sequence, 2,048 bytes each and of equal letters; a long text in both ways."""
+    one, two = "a", "b"
+    for _ in range(11):
+        one, two = one + two, two + one
+    training = [i for i in range(100) if __import__("zlib").crc32(str(i).encode()) % 7 != 2][:3]
+    docs = make_docs([one, two + " " + two, prose(1, 20_000)], ids=training).withColumn("key", F.lit(1)).withColumn("block", F.lit(2))
+    a, b = (sorted(map(tuple, ctw.score(docs, broadcast_rows=n).collect())) for n in (10**6, 0))
+    assert [x[0] for x in a] == training and [x[2] for x in a] == [2, 3, 20_001] == [x[3] for x in a]
+    total, distinct = 20_006, 3 + len(set(prose(1, 20_000).split()))
+    assert math.isclose(a[0][5], math.log10(2 / (total + distinct + 1)) + math.log10(4 / (total + distinct + 1)))
+    assert math.isclose(a[1][5], 2 * math.log10(3 / (total + distinct + 1)) + math.log10(4 / (total + distinct + 1)))
+    assert np.allclose([x[5:] for x in a], [x[5:] for x in b])

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__ as entry
 
@@ -38,3 +40,39 @@ def test_stages(spark, make_docs, prose, tmp_path):
     assert set(seen["pii"]) == set(seen["decontamination"]) and not any("jo.81@" in t for t in seen["pii"].values())
     rows = now.collect()
     assert 0 < len(rows) <= len(seen["pii"]) and all(r["copies"] >= 1 and r["taken"] == r["copies"] * r["size"] for r in rows)
+
+
+def test_edge_cases(spark, make_docs, prose, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns and empty tables, through all five stages."""
+    docs = make_docs([None, "", "  ", prose(1, 20_000), prose(2, 50), prose(2, 50), prose(3, 50), prose(4, 40), prose(4, 40)], ids=[0, 1, 2, 3, 4, 4, None, 7, 8], source=["a", "a", None, "b", "b", "b", "a", None, "c"])
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") > 3, F.col("lang")))
+    for c in ("key", "label", "score", "size", "copies", "rank", "text_hash", "n_entities", "w", "hash", "set"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, counts = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = corpus_pipeline.stored(stage(spark, now, str(tmp_path)), name)
+        counts[name] = now.count()
+        assert now.columns[: len(docs.columns)] == docs.columns and all(r["key"] == "mine" for r in now.collect())
+        assert name == "mixing" or now.columns == docs.columns
+    # one text without words of each kind stays: null and empty are one, blanks another
+    assert counts | {"mixing": 0} == {"toxicity": 9, "near_dedup": 6, "decontamination": 6, "pii": 6, "mixing": 0} and 0 < counts["mixing"] <= 4
+    rows = now.collect()
+    assert all((r["text"] or "").split() for r in rows) and now.columns[-5:] == ["_size", "source_size", "target", "_copies", "taken"]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_run_leaves_one_table(spark, make_docs, prose, tmp_path):
+    import os
+
+    make_docs([prose(i, 60) for i in range(12)], source=["a", "b"] * 6).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(99, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    new = set(os.listdir(shared)) - before
+    assert out.count() > 0 and len(new) == 1 and next(iter(new)).startswith("quern-mixing")

@@ -43,3 +43,39 @@ def test_held_out_accuracy_and_edge_cases(spark, make_docs, prose):
     assert all(0 <= r["score"] <= 1 for r in got)
     assert {r["score"] for r in c.score(docs, labels.limit(0)).collect()} == {0.5}
     assert c.score(docs.limit(0), labels).count() == 0
+
+
+def plain(t):
+    """The statistics of one text, one after the other, in plain Python."""
+    import math
+    import re
+
+    raw = (t or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in w]
+    n, chars = max(1, len(w)), sum(map(len, w))
+    letters = max(1, chars)
+    of = lambda some: sum(chr(c) in some for c in raw)
+    mean = chars / n
+    spread = math.sqrt(max(0.0, sum(len(x) ** 2 for x in w) / n - mean**2))
+    triples = list(zip(low, low[1:], low[2:], strict=False))
+    share = lambda x, y: math.sqrt(max(0, x) / y)
+    return [
+        math.log1p(len(w)), math.log1p(mean), math.log1p(spread), share(sum(65 <= c <= 90 for c in raw), letters), share(sum(48 <= c <= 57 for c in raw), letters), share(of(",;:'\"()-"), n), share(of("#*$%&<>@~^=_{}[]\\/"), n),
+        share(of("!?"), n), share(of("|"), n), share(of("\n"), n), share(len(w) - len(set(low)), n), share(sum(a == b for a, b in zip(low, low[1:], strict=False)), n), share(len(triples) - len(set(triples)), n), share(of("."), n),
+        math.log1p(len(set(low))) - 0.5 * math.log1p(len(w)), share(sum(c >= 128 for c in raw), letters), math.log1p(max(map(len, w), default=0)),
+    ]
+
+
+def test_features_against_plain_python(prose):
+    texts = ["", None, " \n\t", "A b\nA b A b 12 #!", prose(1, 300).title() + "!? | {x} é 😀", "é" * 9, "go go go go", prose(2, 40) + "\n" + prose(2, 40), "x" * 5000, "a\u00a0b (c), d; 'e' -- f."]
+    assert np.allclose(c.features(pa.array(texts, pa.string())), [plain(t) for t in texts], atol=1e-9)
+
+
+def test_repeated_and_long_rows(spark, make_docs, prose):
+    docs = make_docs([prose(i % 7, 30 + i % 7) for i in range(40)] + [prose(1, 20_000)] * 2, ids=[*(i % 7 for i in range(40)), 50, 50])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    by = {}
+    for r in c.score(docs, labels).collect():
+        by.setdefault(r["doc_id"], set()).add(r["score"])
+    assert len(by) == 8 and all(len(v) == 1 for v in by.values())

@@ -52,3 +52,64 @@ def test_em_against_known_accuracies():
 def test_no_python_on_the_way(spark, make_docs):
     plan = q.judge(make_docs(["a b"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_posterior_against_brute_force(spark, make_docs, prose):
+    """Votes by plain Python from the raw texts, EM as a table of all documents, one by one."""
+    import math
+
+    rng = __import__("random").Random(3)
+    texts = []
+    for i in range(150):
+        t = prose(i, rng.randrange(55, 200))
+        texts.append([t, t.upper(), " ".join(w + "#" for w in t.split()), t.replace(" ", " ! | "), "\n".join([t[:60]] * 8), "ab " * 70 + t, " ".join(c for c in t if c != " ")][rng.choice((0, 0, 0, 0, 1, 2, 3, 4, 5, 6))])
+    texts += [None, "", texts[0], "12 " * 60]
+
+    def votes(t):
+        t, n = t or "", brute(t)
+        w = [x for x in re.split(BLANK, t) if x]
+        lines = [x for x in t.split("\n") if re.sub(BLANK, "", x)]
+        words, letters = max(1, len(w)), max(1, sum(c.isalpha() for c in t))
+        size, prose_share = n["word_chars"] / words, letters / max(1, n["word_chars"])
+        bad = [
+            n["n_symbols"] > 0.2 * words, n["n_repeat_words"] > 0.35 * words, sum(c.isupper() for c in t) > 0.4 * letters, sum(c in "!|" for c in t) > 0.3 * words,
+            n["n_dup_lines"] > 0.4 * max(1, len(lines)), len(set(w)) < 2 * math.sqrt(words), size < 2.5 or size > 12, prose_share < 0.8,
+        ]
+        good = [False] * 6 + [3 < size < 9, prose_share > 0.93]
+        return [0 if x else 1 if y else 2 for x, y in zip(bad, good, strict=True)]
+
+    cast = [votes(t) for t in texts]
+    start = [[0.35, 0.25, 0.4], [0.02, 0.6, 0.38]]
+    model, prior = [[r[:] for r in start] for _ in range(8)], 0.8
+
+    def believed(v):
+        a, b = prior, 1 - prior
+        for k, x in enumerate(v):
+            a, b = a * model[k][1][x], b * model[k][0][x]
+        return a / (a + b)
+
+    for _ in range(60):
+        p = [believed(v) for v in cast]
+        strength = 1 + 0.002 * len(cast)
+        new = []
+        for k in range(8):
+            rule = []
+            for truth in (0, 1):
+                row = [strength * start[truth][x] + sum(q_ if truth else 1 - q_ for q_, v in zip(p, cast, strict=True) if v[k] == x) for x in range(3)]
+                rule.append([x / sum(row) for x in row])
+            rule[0][0], rule[1][1] = max(rule[0][0], rule[1][0]), max(rule[1][1], rule[0][1])
+            new.append(rule)
+        prior, model = min(0.995, max(0.3, (0.8 * 0 + sum(p) + prior) / (len(cast) + 1))), new
+    got = {r["doc_id"]: r for r in q.judge(make_docs(texts)).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i]["posterior"] - believed(cast[i])) < 1e-6, i
+        assert got[i]["kept"] == (not brute(t)["base_failed"] and believed(cast[i]) >= 0.5)
+    assert {got[i]["kept"] for i in got} == {True, False}
+
+
+def test_long_texts_ties_and_clashing_columns(spark, make_docs, prose):
+    docs = make_docs([prose(1, 30_000), "a b c " * 5000, prose(2, 80), prose(2, 80)], ids=[1, 2, 3, 3])
+    for c in ("w", "h", "s", "p", "t", "lines", "votes", "vote_prose", "posterior"):
+        docs = docs.withColumn(c, F.lit(1))
+    got = sorted(((r["doc_id"], r["n_words"], r["n_repeat_words"], r["kept"]) for r in q.judge(docs).collect()))
+    assert got == [(1, 30_000, brute(prose(1, 30_000))["n_repeat_words"], True), (2, 15_000, 15_000, False), (3, 80, 0, True), (3, 80, 0, True)]
