@@ -29,15 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+#: Bytes of one Arrow batch between the JVM and Python while a table is stored; rows may be long (texts, sets of shingles).
+ARROW_BYTES = 8 << 20
+_ARROW_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Paths of the tables that stored() wrote in each open scratch().
 _scratches: list[list[str]] = []
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ARROW_BYTES, where the session has no setting of its own."""
+    if spark.conf.get(_ARROW_KEY, None) is not None:
+        yield
+        return
+    spark.conf.set(_ARROW_KEY, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_ARROW_KEY)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder. Cuts the lineage: a lost executor costs a re-read, not a re-run."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     if _scratches:
         _scratches[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -41,6 +41,8 @@ PER_CLASS, VOCABULARY, EPOCHS = 600, 5_000, 16
 LEAST_WINDOWS = 50_000
 #: Bytes of text that are in hand at once.
 _PIECE = 1 << 19
+#: Distinct words and windows that are in hand at once, few enough for a step's gates to stay in a core's cache.
+_WORDS, _WINDOWS = 2048, 512
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -189,13 +191,13 @@ class Network:
             keep |= {"cx": x, "cm": m}
         return np.concatenate([self.p["word"][ids], pooled], axis=1)
 
-    def logits(self, t: Texts, rows: np.ndarray | None = None, batch: int = 4096) -> np.ndarray:
+    def logits(self, t: Texts, rows: np.ndarray | None = None, batch: int = _WINDOWS) -> np.ndarray:
         """One per window. The input side of the upper GRU is computed once per distinct word."""
         order = np.argsort(t.inside.sum(axis=1), kind="stable")
         vectors = np.zeros((len(order) + 1, self.p["wxf"].shape[0]), np.float32)
         ids = self._ids(t.hashes)
-        for k in range(0, len(order), 8192):
-            part = order[k : k + 8192]
+        for k in range(0, len(order), _WORDS):
+            part = order[k : k + _WORDS]
             vectors[part] = self._words(t.chars[part], t.inside[part], ids[part])
         tables = [vectors @ self.p[f"wx{side}"] + self.p[f"wb{side}"] for side in "fb"]
         windows = t.windows if rows is None else t.windows[rows]
