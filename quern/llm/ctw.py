@@ -20,9 +20,10 @@ the same in any order of documents.
    (257 * 255), which a second map without a shuffle mixes in. Each gram gets the
    log10 probability of its last byte.
 3. A last map adds up the logs over every text. The tables of grams and words are
-   broadcast up to BROADCAST_ROWS rows; beyond that, documents are dealt into
-   blocks of about BLOCK_BYTES, and each block is given the rows of the tables
-   that its distinct keys name. Both ways give the same sums.
+   broadcast up to BROADCAST_ROWS rows in all. Beyond that the rows that most partitions
+   hold are, and each run of documents asks once for every other key that it has; the
+   answers are added to the sums so far. Texts aren't stored or shuffled, and both ways
+   give the same sums.
 
 Words are told apart by 64-bit hashes. Defined cases: a null text is the empty
 text: one end; without training texts every bit has probability 1/2, and
@@ -40,20 +41,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quern.llm import bytes_np as b
 from quern.llm.common import remainder, scratch, stored, text_of
 
 DEPTH = 5
 BROADCAST_ROWS = 6_000_000
-BLOCK_BYTES = 32 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MERGE = 1_000_000
 #: Grams of whole groups that are in hand at once.
 CHUNK = 500_000
+#: Documents and keys beyond the broadcast tables that a run of documents has in hand.
+RUN = 1_000_000
 #: Bytes of text that are in hand at once.
 _PIECE = 1 << 19
 
@@ -316,18 +321,21 @@ def gram_table(counts: DataFrame, depth: int) -> DataFrame:
 
 
 class _Lookup:
-    """Values by key; 0 for a key that isn't there."""
+    """Values by key, and whether the key is there; 0 for a key that isn't."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
 
-    def __call__(self, wanted: np.ndarray) -> np.ndarray:
-        codes, distinct = pd.factorize(wanted)
+    def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys) or not len(wanted):
-            return np.zeros(len(wanted), self.values.dtype)
-        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-        return np.where(self.keys[at] == distinct, self.values[at], 0)[codes]
+            return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+        codes, distinct = pd.factorize(wanted)
+        order = np.argsort(distinct)  # a search in order stays in the caches
+        at = np.empty(len(distinct), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, distinct[order]), len(self.keys) - 1)
+        there = self.keys[at] == distinct
+        return np.where(there, self.values[at], 0.0)[codes], there[codes]
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -340,6 +348,59 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Rare:
+    """Of a run of documents, the keys that the broadcast tables don't have: each distinct one once, and per document its places among them."""
+
+    def __init__(self, run: int) -> None:
+        self.run, self.held, self.docs = run, 0, []
+        self.keys: tuple[list, list] = ([], [])
+        self.sizes: tuple[list, list] = ([], [])
+
+    def add(self, docs: list[pa.Array], missing: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """docs: the columns but the places; missing: for grams and for words the keys in order, and how many each document has."""
+        self.docs.append(docs)
+        for which, (keys, sizes) in enumerate(missing):
+            self.keys[which].append(keys)
+            self.sizes[which].append(sizes)
+            self.held += len(keys)
+        self.held += len(docs[0])
+
+    def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Kinds 0 and 1, a row per distinct gram and word with its place, and kind 2, a row per document."""
+        places = []
+        for which in (0, 1):
+            found, at = np.unique(np.concatenate(self.keys[which]), return_inverse=True)
+            for k in range(0, len(found), 50_000):
+                keys = found[k : k + 50_000].view(np.int64)
+                own = {"kind": np.full(len(keys), which, np.int32), "run": np.full(len(keys), self.run), "key": keys, "place": np.arange(k, k + len(keys), dtype=np.int32)}
+                yield _batch(schema, len(keys), {c: pa.array(v) for c, v in own.items()})
+            places.append((at.astype(np.int32), np.concatenate([[0], np.cumsum(np.concatenate(self.sizes[which]))])))
+        start = 0
+        for docs in self.docs:
+            n = len(docs[0])
+            own = {"kind": pa.array(np.full(n, 2, np.int32)), "run": pa.array(np.full(n, self.run)), **dict(zip(schema.names[4:-2], docs, strict=True))}
+            for name, (at, ends) in zip(schema.names[-2:], places, strict=True):
+                own[name] = pa.array([at[x:y].tobytes() for x, y in zip(ends[start : start + n], ends[start + 1 : start + n + 1], strict=True)], pa.binary())
+            yield _batch(schema, n, own)
+            start += n
+
+
+def _batch(schema: pa.Schema, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The columns in the schema's order, nulls for those that are lacking."""
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _common(known: DataFrame, most: int) -> Column:
+    """Which rows of known (key, parts) are among the about `most` that the most partitions hold; ties by hash."""
+    parts = F.least(F.col("parts"), F.lit(4096))
+    hist = dict(known.groupBy(parts.alias("parts")).count().collect())  # 4,096 rows at most
+    for n in sorted(hist, reverse=True):
+        if hist[n] > most:
+            return (parts > n) | (parts == n) & (F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(most / hist[n] * (1 << 20)))
+        most -= hist[n]
+    return F.lit(True)
+
+
 def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", divisor: int = 7, held_out: int = 2, depth: int = DEPTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
@@ -347,70 +408,87 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", divisor:
     out_of = remainder(F.col(id_col), divisor) == held_out
     source = docs.select(F.col(id_col).alias("doc_id"), (~out_of).alias("training"), text_of(text).alias("text"))
     with scratch(spark) as own:
-        counted = source.select("training", "text").mapInArrow(_counting(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-        counted = stored(counted, "counts")
-        words = own.kept(counted.filter("kind = 1 and n > 0").select("key", "n"), "words")
-        table = own.kept(gram_table(counted.filter("kind = 0").select("key", "n"), depth), "grams")
+        counted = source.select("training", "text").mapInArrow(_counting(depth), "kind int, key long, n long").groupBy("kind", "key")
+        counted = stored(counted.agg(F.sum("n").alias("n"), F.count("*").alias("parts")), "counts")
+        seen = counted.filter("kind = 0")
+        table = gram_table(seen.select("key", "n"), depth)
+        words = counted.filter("kind = 1 and n > 0").select(F.lit(1).alias("kind"), "key", F.col("n").cast("double").alias("v"), "parts")
+        n_words, sum_words = words.agg(F.count("*"), F.coalesce(F.sum("v"), F.lit(0)).cast("long")).first()
+        whole = n_words + seen.count() <= broadcast_rows
+        with_parts = table.withColumn("parts", F.lit(0).cast("long")) if whole else table.join(seen.select("key", "parts"), "key")
+        known = own.kept(with_parts.select(F.lit(0).alias("kind"), "key", "v", "parts").unionByName(words), "known")
     ends = source.filter("training").count()
-    n_words, sum_words = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     total, distinct = sum_words + ends, n_words + (ends > 0)
     least = -math.log10(total + distinct + 1)
     log_end = math.log10(ends + 1) + least if total else 0.0
 
-    def scored(texts: pa.RecordBatch | pa.Table, by_gram: _Lookup, by_word: _Lookup) -> list[pa.Array]:
+    def base(c: np.ndarray) -> np.ndarray:
+        return np.log10(c + 1.0) + least if total else np.zeros(len(c))
+
+    # about broadcast_rows rows of 16 bytes
+    common = F.lit(True) if whole else _common(known, broadcast_rows)
+    tables = (known.filter(common & (F.col("kind") == k)).select("key", "v").toArrow() for k in (0, 1))
+    shared = spark.sparkContext.broadcast([_Lookup(x["key"].to_numpy().view(np.uint64), x["v"].to_numpy()) for x in tables])
+
+    def scored(texts: pa.RecordBatch) -> tuple[list[pa.Array], list[tuple[np.ndarray, np.ndarray]]]:
+        """The result's columns as far as the broadcast tables have the keys; of grams and words the keys that they don't have, and how many each text has of them."""
+        by_gram, by_word = shared.value
         g, n_g = grams(texts.column("text"), depth)
         w, n_w = tokens(texts.column("text"))
-        c = by_word(w)
-        base = _sums(np.log10(c + 1.0) + least, n_w) + log_end if total else np.zeros(len(n_w))
+        logs, has_g = by_gram(g)
+        c, has_w = by_word(w)
+        has = np.full(len(w), True) if whole else has_w
+        missing = [] if whole else [(keys[~x], np.bincount(np.repeat(np.arange(len(n)), n)[~x], minlength=len(n))) for keys, x, n in ((g, has_g, n_g), (w, has_w, n_w))]
         known = _sums((c > 0).astype(float), n_w).astype(np.int64) + (ends > 0)
-        return [texts.column("doc_id"), pa.array(n_w + 1), pa.array(known), pa.array(base), pa.array(_sums(by_gram(g), n_g)), pa.array(n_g - 1)]
+        return [texts.column("doc_id"), pa.array(n_w + 1), pa.array(known), pa.array(_sums(np.where(has, base(c), 0), n_w) + log_end), pa.array(_sums(logs, n_g)), pa.array(n_g - 1)], missing
 
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"]
     result = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, n_bytes long"
-    if max(n_words, table.count()) <= broadcast_rows:
-        # behind the check above: 16 bytes a row
-        parts = [(x["key"].to_numpy().view(np.uint64), x["v"].to_numpy()) for x in (table.select("key", "v").toArrow(), words.select("key", F.col("n").alias("v")).toArrow())]
-        shared = spark.sparkContext.broadcast([_Lookup(*p) for p in parts])
+    if whole:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in b.pieces(batch, "text", _PIECE):
-                    yield pa.RecordBatch.from_arrays(scored(piece, *shared.value), names=names)
+                    yield pa.RecordBatch.from_arrays(scored(piece)[0], names=names)
 
         out = source.select("doc_id", "text").mapInArrow(run, result)
     else:
-        # Blocks of documents, each with the rows of the tables that it needs: what is joined is a block's distinct keys.
-        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        blocks = max(1, -(-size // BLOCK_BYTES))
-        rows = source.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text")
-        rows = stored(rows.repartition(min(blocks, 100_000), "block"), "blocks")
-
-        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: dict[int, tuple[_Counter, _Counter]] = {}
+        # Texts stay where they are: each run of documents asks once for every key that isn't broadcast, and gets its values.
+        names_of_places = ["grams", "words"]
+        asked = f"kind int, run long, key long, place int, {result}, grams binary, words binary"
+        schema = to_arrow_schema(StructType.fromDDL(asked))
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = TaskContext.get().partitionId() << 32
+            rare = _Rare(first)
             for batch in batches:
-                for k in pa.compute.unique(batch.column("block")).to_pylist():
-                    for piece in b.pieces(batch.filter(pa.compute.equal(batch.column("block"), k)), "text", _PIECE):
-                        own = found.setdefault(k, (_Counter(), _Counter()))
-                        own[0].add(grams(piece.column("text"), depth)[0], 1)
-                        own[1].add(tokens(piece.column("text"))[0], 1)
-            for k, own in found.items():
-                for which, c in enumerate(own):
-                    c.merge()
-                    n = len(c.keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int64)), pa.array(np.full(n, which, np.int32)), pa.array(c.keys.view(np.int64))], names=["block", "kind", "key"])
-
-        wanted = rows.select("block", "text").mapInArrow(keys, "block long, kind int, key long").distinct()
-        known = table.select(F.lit(0).alias("kind"), "key", "v").unionByName(words.select(F.lit(1).alias("kind"), "key", F.col("n").cast("double").alias("v")))
-        met = wanted.join(known, ["kind", "key"]).select("block", "kind", "key", "v")
-
-        def block(texts: pa.Table, values: pa.Table) -> pa.Table:
-            of = []
-            for which in (0, 1):
-                x = values.filter(pa.compute.equal(values.column("kind"), which))
-                of.append(_Lookup(x.column("key").to_numpy().view(np.uint64), x.column("v").to_numpy()))
-            return pa.Table.from_arrays(scored(texts, *of), names=names)
-
-        out = rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(block, result)
+                for piece in b.pieces(batch, "text", _PIECE):
+                    rare.add(*scored(piece))
+                    if rare.held >= RUN:
+                        yield from rare.rows(schema)
+                        rare = _Rare(rare.run + 1)
+            if rare.docs:
+                yield from rare.rows(schema)
+
+        parts = stored(source.select("doc_id", "text").mapInArrow(partial, asked), "partial")
+        wanted = parts.filter("kind < 2").select("kind", "key", F.col("run").alias("asker"), F.col("place").alias("at"))
+        met = wanted.join(known.filter(~common).select("kind", "key", "v"), ["kind", "key"]).select("asker", F.col("kind").alias("which"), "at", "v")
+
+        def complete(texts: pa.Table, values: pa.Table) -> pa.Table:
+            kinds, place, v = (values.column(c).to_numpy() for c in ("which", "at", "v"))
+            sums = []
+            for which, name in enumerate(names_of_places):
+                of = kinds == which
+                lists = [np.frombuffer(x, np.int32) for x in texts.column(name).to_pylist()]
+                at = np.concatenate(lists)
+                by_place = np.zeros(max(at.max(initial=-1), place[of].max(initial=-1)) + 1)
+                by_place[place[of]] = v[of]
+                sums.append((by_place[at], np.array([len(x) for x in lists], np.int64)))
+            (logs, n_g), (c, n_w) = sums
+            more = {"n_known": _sums((c > 0).astype(float), n_w).astype(np.int64), "base_score": _sums(base(c), n_w), "score": _sums(logs, n_g)}
+            return pa.Table.from_arrays([pa.array(texts.column(x).to_numpy() + more[x]) if x in more else texts.column(x) for x in names], names=names)
+
+        out = parts.filter("kind = 2").select("run", *names, *names_of_places).groupBy("run").cogroup(met.groupBy("asker")).applyInArrow(complete, result)
     return out.select(
         "doc_id", (remainder(F.col("doc_id"), divisor) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes",
         (-F.col("score") * math.log2(10) / F.greatest(F.col("n_bytes") + 1, F.lit(1))).alias("bits_per_byte"),

@@ -109,3 +109,30 @@ def test_words_that_a_polynomial_would_mix_up_and_long_texts(spark, make_docs, p
     assert math.isclose(a[0][5], math.log10(2 / (total + distinct + 1)) + math.log10(4 / (total + distinct + 1)))
     assert math.isclose(a[1][5], 2 * math.log10(3 / (total + distinct + 1)) + math.log10(4 / (total + distinct + 1)))
     assert np.allclose([x[5:] for x in a], [x[5:] for x in b])
+
+
+@pytest.mark.parametrize(("broadcast_rows", "run"), [(2_500, 10**6), (2_500, 40), (300, 10**6)])
+def test_beyond_the_broadcast_rows_texts_are_neither_stored_nor_shuffled(spark, make_docs, prose, monkeypatch, broadcast_rows, run):
+    """A part of the rows is broadcast; what is stored for the others follows the rare words, not the texts."""
+    rng, words = np.random.default_rng(3), prose(5, 90).split()
+    texts = [" ".join([*rng.permutation(words * 6), f"only{i}"]) for i in range(200)]
+    texts += [None, "", "Only3 only3 zq", texts[0]]
+    docs = make_docs(texts, ids=[*range(203), 0]).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.concat(F.lit("d"), "doc_id"))).repartition(6)
+    tables = {}
+    stored = ctw.stored
+
+    def measured(df, name):
+        out = stored(df, name)
+        tables[name] = sum(__import__("os").path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(ctw, "stored", measured)
+    monkeypatch.setattr(ctw, "RUN", run, raising=False)
+    order = lambda r: (r["doc_id"] or "", r["n_bytes"])
+    some, every = (sorted(ctw.score(docs, broadcast_rows=n).collect(), key=order) for n in (broadcast_rows, 10**6))
+    assert len(some) == len(every) == 204 and [r[:5] + r[7:8] for r in some] == [r[:5] + r[7:8] for r in every]
+    assert np.allclose([[r["base_score"], r["score"]] for r in some], [[r["base_score"], r["score"]] for r in every], rtol=1e-12)
+    twice = [r for r in some if r["doc_id"] == "d0"]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    after = sum(n for name, n in tables.items() if name not in ("counts", "tree", "second", "logs"))
+    assert broadcast_rows == 300 or after < sum(len(t or "") for t in texts) / 4
