@@ -11,6 +11,8 @@ them; a null id, source or lang is a value like any other; texts of any length a
 whole; repeated rows are one document in near_dedup, and any but the first go; with an empty
 table, empty labels or an empty benchmark the stages still run (no labels: nothing is
 toxic); columns that clash with added ones keep their names and values.
+
+The session's Arrow batches stay bounded after a stage, as its result is still to be computed; a setting of the session's own stays.
 """
 
 from __future__ import annotations
@@ -20,16 +22,21 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, mixing, near_dups, surrogates
 from quern.llm import toxicity as tox
-from quern.llm.common import scratch, stored
+from quern.llm.common import bounded_batches, scratch, stored
+
+#: Bytes of an Arrow batch in the stages, several copies of which are in an executor's memory outside its heap.
+ARROW_BYTES = 1 << 20
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5."""
+    bounded_batches(spark, ARROW_BYTES)
     return tox.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the least id."""
+    bounded_batches(spark, ARROW_BYTES)
     return near_dups.deduplicated(docs)
 
 
@@ -46,6 +53,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with copies (how often) and taken (words, repeats counted)."""
+    bounded_batches(spark, ARROW_BYTES)
     out = mixing.mix(docs)
     return out.filter(F.col(out.columns[-2]) > 0)
 

@@ -50,6 +50,12 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_ARROW_KEY)
 
 
+def bounded_batches(spark: SparkSession, most: int) -> None:
+    """Arrow batches of `most` bytes from now on, where the session has no setting of its own; so it holds for lazy results that others write."""
+    if spark.conf.get(_ARROW_KEY, None) is None:
+        spark.conf.set(_ARROW_KEY, str(most))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder. Cuts the lineage: a lost executor costs a re-read, not a re-run."""
     spark = df.sparkSession

@@ -76,3 +76,31 @@ def test_run_leaves_one_table(spark, make_docs, prose, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     new = set(os.listdir(shared)) - before
     assert out.count() > 0 and len(new) == 1 and next(iter(new)).startswith("quern-mixing")
+
+
+def test_arrow_batches_are_bounded_where_the_caller_writes(spark, make_docs, tmp_path, monkeypatch):
+    """A stage's lazy result is written by others: no batch of texts may be as large as a partition."""
+    most = 3 << 20
+
+    class Probe:
+        unlabelled = False
+
+        def scores(self, texts):
+            import numpy as np
+
+            return np.full(len(texts), 1.0 if texts.buffers()[-1].size > most else 0.0)
+
+    monkeypatch.setattr(corpus_pipeline.tox, "fit", lambda *a, **b: Probe())
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 4000).alias("text"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        corpus_pipeline.toxicity(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+        assert spark.read.parquet(f"{tmp_path}/out").count() == 600
+        spark.conf.set(key, str(64 << 20))
+        corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+        assert spark.conf.get(key) == str(64 << 20)
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
