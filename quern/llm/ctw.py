@@ -20,7 +20,8 @@ the same in any order of documents.
    (257 * 255), which a second map without a shuffle mixes in. Each gram gets the
    log10 probability of its last byte.
 3. A last map adds up the logs over every text. The tables of grams and words are
-   broadcast up to BROADCAST_ROWS rows in all. Beyond that the rows that most partitions
+   broadcast up to BROADCAST_ROWS rows in all, in sorted pieces of about SENT rows, so that
+   the driver's Python has one of them in hand at a time. Beyond that the rows that most partitions
    hold are, and each run of documents asks once for every other key that it has; the
    answers are added to the sums so far. Texts aren't stored or shuffled, and both ways
    give the same sums.
@@ -41,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,6 +58,8 @@ _LOWER[65:91] += 32
 _MERGE = 1_000_000
 #: Grams of whole groups that are in hand at once.
 CHUNK = 500_000
+#: Rows of a table that pass through the driver and are broadcast at once, of 16 bytes; about a block of Spark's broadcasts.
+SENT = 250_000
 #: Documents and keys beyond the broadcast tables that a run of documents has in hand.
 RUN = 1_000_000
 #: Bytes of text that are in hand at once.
@@ -317,25 +320,61 @@ def gram_table(counts: DataFrame, depth: int) -> DataFrame:
                 below = np.frombuffer(p.buffers()[2], np.float64, 8 * len(p), int(at)).reshape(-1, 8)
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(root.log10(keys, second.mixed(keys, below)))], names=["key", "v"])
 
-    return stored(built.filter("kind = 0").select("key", "p").mapInArrow(logs, "key long, v double"), "logs")
+    table = stored(built.filter("kind = 0").select("key", "p").mapInArrow(logs, "key long, v double"), "logs")
+    upper.destroy()
+    return table
+
+
+def _packed(most: int):
+    """From sorted rows of (key, v): a row of bytes for each `most` of them or somewhat more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def row() -> pa.RecordBatch:
+            columns = [np.concatenate([x.column(c).to_numpy() for x in held]).tobytes() for c in ("key", "v")]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in columns], names=["keys", "values"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= most:
+                yield row()
+                held.clear()
+        if held:
+            yield row()
+
+    return run
+
+
+def _sent(table: DataFrame) -> list[Broadcast]:
+    """(keys, values) of a table of (key, v) in broadcasts of about SENT rows, by ascending keys; one partition at a time is in the driver."""
+    sc = table.sparkSession.sparkContext
+    dealt = table.repartitionByRange(max(1, math.ceil(table.count() / SENT)), "key").sortWithinPartitions("key")
+    # a partition is one piece, as a rule: ranges are cut by a sample
+    pieces = dealt.mapInArrow(_packed(2 * SENT), "keys binary, values binary").toLocalIterator()
+    return [sc.broadcast((np.frombuffer(r["keys"], np.int64), np.frombuffer(r["values"], np.float64))) for r in pieces]
 
 
 class _Lookup:
-    """Values by key, and whether the key is there; 0 for a key that isn't."""
+    """Values by key, and whether the key is there; 0 for a key that isn't. pieces: what _sent() gives."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+    def __init__(self, pieces: list[Broadcast]) -> None:
+        self.pieces = pieces
 
     def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys) or not len(wanted):
-            return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
-        codes, distinct = pd.factorize(wanted)
+        codes, distinct = pd.factorize(wanted.view(np.int64))
         order = np.argsort(distinct)  # a search in order stays in the caches
-        at = np.empty(len(distinct), np.int64)
-        at[order] = np.minimum(np.searchsorted(self.keys, distinct[order]), len(self.keys) - 1)
-        there = self.keys[at] == distinct
-        return np.where(there, self.values[at], 0.0)[codes], there[codes]
+        asked = distinct[order]
+        values, there = np.zeros(len(asked)), np.zeros(len(asked), bool)
+        for piece in self.pieces:
+            keys, v = piece.value
+            start, end = np.searchsorted(asked, keys[0]), np.searchsorted(asked, keys[-1], "right")
+            at = np.searchsorted(keys, asked[start:end])
+            found = keys[at] == asked[start:end]
+            there[order[start:end]] = found
+            values[order[start:end]] = np.where(found, v[at], 0.0)
+        return values[codes], there[codes]
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -416,7 +455,12 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", divisor:
         n_words, sum_words = words.agg(F.count("*"), F.coalesce(F.sum("v"), F.lit(0)).cast("long")).first()
         whole = n_words + seen.count() <= broadcast_rows
         with_parts = table.withColumn("parts", F.lit(0).cast("long")) if whole else table.join(seen.select("key", "parts"), "key")
-        known = own.kept(with_parts.select(F.lit(0).alias("kind"), "key", "v", "parts").unionByName(words), "known")
+        known = with_parts.select(F.lit(0).alias("kind"), "key", "v", "parts").unionByName(words)
+        if not whole:
+            known = own.kept(known, "known")
+        # about broadcast_rows rows of 16 bytes
+        common = F.lit(True) if whole else _common(known, broadcast_rows)
+        by_gram, by_word = (_Lookup(_sent(known.filter(common & (F.col("kind") == k)).select("key", "v"))) for k in (0, 1))
     ends = source.filter("training").count()
     total, distinct = sum_words + ends, n_words + (ends > 0)
     least = -math.log10(total + distinct + 1)
@@ -425,14 +469,8 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", divisor:
     def base(c: np.ndarray) -> np.ndarray:
         return np.log10(c + 1.0) + least if total else np.zeros(len(c))
 
-    # about broadcast_rows rows of 16 bytes
-    common = F.lit(True) if whole else _common(known, broadcast_rows)
-    tables = (known.filter(common & (F.col("kind") == k)).select("key", "v").toArrow() for k in (0, 1))
-    shared = spark.sparkContext.broadcast([_Lookup(x["key"].to_numpy().view(np.uint64), x["v"].to_numpy()) for x in tables])
-
     def scored(texts: pa.RecordBatch) -> tuple[list[pa.Array], list[tuple[np.ndarray, np.ndarray]]]:
         """The result's columns as far as the broadcast tables have the keys; of grams and words the keys that they don't have, and how many each text has of them."""
-        by_gram, by_word = shared.value
         g, n_g = grams(texts.column("text"), depth)
         w, n_w = tokens(texts.column("text"))
         logs, has_g = by_gram(g)

@@ -1,4 +1,5 @@
 import math
+import pickle
 from collections import defaultdict
 
 import numpy as np
@@ -136,3 +137,21 @@ def test_beyond_the_broadcast_rows_texts_are_neither_stored_nor_shuffled(spark,
     assert len(twice) == 2 and twice[0] == twice[1]
     after = sum(n for name, n in tables.items() if name not in ("counts", "tree", "second", "logs"))
     assert broadcast_rows == 300 or after < sum(len(t or "") for t in texts) / 4
+
+
+def test_the_tables_pass_through_the_driver_in_pieces(spark, make_docs, monkeypatch):
+    """What the driver's Python collects and broadcasts at once is bounded, however large the tables are."""
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 123, 20_000, np.uint8)).decode() for _ in range(10)]
+    docs = make_docs([*texts, "Ab ab", None, " ".join(f"w{i}" for i in range(3000))])
+    order = lambda r: r["doc_id"]
+    one = sorted(ctw.score(docs).collect(), key=order)
+    collected, sent = [0], []
+    monkeypatch.setattr(ctw, "SENT", 20_000, raising=False)
+    arrow, broadcast = type(docs).toArrow, type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: (out := arrow(df), collected.append(out.nbytes))[0])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: (sent.append(len(pickle.dumps(value))), broadcast(sc, value))[1])
+    pieces = sorted(ctw.score(docs).collect(), key=order)
+    assert sum(sent) > 16 * 190_000 + 2**21  # the grams are there, beside the upper nodes with their dense 2 MB
+    assert max(sent) < 2.8e6 and max(collected) < 1e6
+    assert one == pieces
